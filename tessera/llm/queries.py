@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import simhash_dedup
+from tessera.llm import decontaminate, langid, nbest, simhash_dedup
 from tessera.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,25 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the three best segmentations of every document, and whether the best decodes to its text."""
+    found = nbest.encode_nbest(table(spark, sf_dir, "documents"), n=3, digest=True)
+    return found.select("doc_id", "n_pieces", F.col("ids").alias("ids_sha256"), "scores", F.col("nbest").alias("nbest_sha256"), "round_trip")
+
+
+@_query
+def op2_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op5_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the rows."""
+    return langid.language_of_documents(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_simhash_vantage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
