@@ -8,7 +8,7 @@ sql_query(
     "tpch_q1",
     """
     SELECT l_returnflag, l_linestatus,
-           CAST(sum(l_quantity) AS DECIMAL(18,2)) AS sum_qty,
+           round(sum(l_quantity), 2) AS sum_qty,
            round(sum(l_extendedprice), 2) AS sum_base_price,
            round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
            round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
