@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, nbest, simhash_dedup
+from tessera.llm import decontaminate, langid, nbest, secrets, simhash_dedup
 from tessera.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,45 @@ def op2_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op3_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def _spans_sql(rule: secrets.Rule, order: int) -> str:
+    """A list of (a, o, b, kind, w) as DuckDB SQL over the parts g, matches m and weighed groups w of a rule."""
+    g, m, w = f"g{order}", f"m{order}", f"w{order}"
+    upto = "coalesce(list_sum(list_transform({}[1:{}], lambda x: length(x))), 0)"
+    return f"""
+    list_filter(list_transform(range(1, len({m}) + 1), lambda i: struct_pack(
+        a := CAST({upto.format(g, "i")} + {upto.format(m, "i-1")} AS BIGINT), o := {order},
+        b := CAST({upto.format(g, "i")} + {upto.format(m, "i")} AS BIGINT), kind := '{rule.kind}',
+        w := length({w}[i]))), lambda x: x.w >= {rule.least})"""
+
+
+def _parts_sql(rule: secrets.Rule, order: int) -> str:
+    pattern = (secrets.re_least(rule.pattern, rule.least) if rule.group == 0 else rule.pattern).replace("'", "''")
+    return f"""string_split_regex(t, '{pattern}') AS g{order}, regexp_extract_all(t, '{pattern}') AS m{order},
+    regexp_extract_all(t, '{pattern}', {rule.group}) AS w{order}"""
+
+
+def _listed_sql(spans: str) -> str:
+    return f"array_to_string(list_transform({spans}, lambda z: concat_ws(':', z.kind, z.a, z.b)), ',')"
+
+
+ORACLES["op3_trigram_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, {", ".join(_parts_sql(r, k) for k, r in enumerate(secrets.RULES))}
+           FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+f AS (SELECT doc_id, list_sort({" || ".join(_spans_sql(r, k) for k, r in enumerate(secrets.RULES))}) AS s FROM d)
+SELECT doc_id,
+       {", ".join(f"CAST(len(list_filter(s, lambda x: x.o = {k})) AS BIGINT) AS n_{r.kind}" for k, r in enumerate(secrets.BASE))},
+       sha256({_listed_sql(f"list_filter(s, lambda x: x.o < {len(secrets.BASE)})")}) AS base_sha256,
+       {_listed_sql("s")} AS spans
+FROM f
+"""
+
+
 @_query
 def op5_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of the rows."""
