@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, nbest, secrets, simhash_dedup
+from tessera.llm import decontaminate, host_quality, langid, nbest, secrets, simhash_dedup
 from tessera.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,40 @@ def op5_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures of every document, and verdicts with those of its host."""
+    return host_quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_host_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
+k AS (SELECT r, i, array_to_string(w[i:i+7], ' ') AS k FROM g),
+m AS (SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+c AS (SELECT r, sum(least(8, coalesce(n - i, 8))) AS covered FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS n FROM m) GROUP BY r),
+f AS (
+  SELECT d.doc_id, lower(source) AS host, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(covered, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+             (100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines) AS more_failed FROM f),
+h AS (SELECT host, count(*) AS n, sum(CASE WHEN base_failed OR more_failed THEN 1 ELSE 0 END) AS bad FROM b GROUP BY host),
+p0 AS (SELECT least(greatest(avg(bad / n), 1e-6), 1 - 1e-6) AS mu, var_samp(bad / n) AS v, count(*) AS c FROM h),
+p AS (SELECT mu, CASE WHEN c < 2 THEN 2.0 WHEN coalesce(v, 0) = 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, mu * (1 - mu) / v - 1)) END AS wt FROM p0)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (bad + mu * wt) / (n + wt) <= 0.5 AS kept
+FROM b JOIN h USING (host), p
+"""
+
+
 @_query
 def op8_simhash_vantage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
