@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, host_quality, langid, nbest, secrets, simhash_dedup
+from tessera.llm import decontaminate, host_quality, langid, nbest, secrets, simhash_dedup, toxicity
 from tessera.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ FROM b JOIN h USING (host), p
 def op8_simhash_vantage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_dedup.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels."""
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
