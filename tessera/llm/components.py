@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 from tessera.scratch import materialize
 
 
-def _hook(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v): per u its least neighbour m, beside each of its pairs."""
-    least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")), "star-least")
-    # Both sides are plain scans, so adaptive execution can split a hot node.
-    return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
+def _least(pairs: DataFrame) -> DataFrame:
+    """The least v of every u, as a plain table: joined with another, adaptive execution can split a hot node."""
+    return materialize(pairs.groupBy("u").agg(F.min("v").alias("m")), "star-least")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -30,18 +28,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     pairs = edges.select("u", "v").where("u <> v")
     pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before = (0, None)
     for _ in range(max_rounds):
-        both = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges-both")
-        large = _hook(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u <> v"), "large-star")
-        hooked = _hook(large)
-        small = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            hooked.select("u", F.col("m").alias("v"))
-        )
-        pairs = materialize(small.where("u <> v").distinct(), "small-star")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
+        # Large star: the larger neighbours of a node go to its least neighbour, or to itself.
+        least = _least(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = pairs.join(least.select(F.col("u").alias("v"), "m"), "v").select("u", F.least("v", "m").alias("v"))
+        large = materialize(large, "large-star")
+        # Small star: the smaller neighbours of a node, and the node, go to the least of them.
+        hooked = large.join(_least(large), "u")
+        small = hooked.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        pairs = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def merge_groups(members: DataFrame) -> DataFrame:
+    """(node, root) with a row for each group that a node is in -> (node, root), a row per node.
+
+    Groups that share a node are one; root is the least root of all groups so joined.  A
+    node must be in few groups (its groups meet in one row), a group may have any size.
+    """
+    own = materialize(members.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), "grouped")
+    links = own.where(F.size("roots") > 1).select(F.col("root").alias("u"), F.explode("roots").alias("v"))
+    heads = materialize(connected_components(links), "group-heads").select(F.col("node").alias("root"), F.col("root").alias("head"))
+    return own.select("node", "root").join(heads, "root", "left").select("node", F.coalesce("head", "root").alias("root"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, host_quality, langid, nbest, secrets, simhash_dedup, toxicity
+from tessera.llm import chat, decontaminate, host_quality, langid, nbest, secrets, sharding, simhash_dedup, toxicity
 from tessera.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,12 +71,63 @@ FROM f
 """
 
 
+@_query
+def op4_perspective_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each of its participants, a row per turn."""
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op4_perspective_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
+         regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1| >', 'g') AS body
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+h AS (
+  SELECT t.*, perspective, role = perspective AS mine,
+         '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(role, '[^\p{L}\p{N}_-]', '_', 'g') END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, length(head) + length(body) + 11 AS size FROM h),
+w AS (SELECT *, row_number() OVER o - 1 AS seq, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+      FROM s WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, body))
+SELECT conv_id, perspective, turn, CAST(seq AS BIGINT) AS seq, head || body || '<|im_end|>' || chr(10) AS segment,
+       CAST(upto - size AS BIGINT) AS a, CAST(upto AS BIGINT) AS b,
+       CAST(CASE WHEN mine THEN upto - size + length(head) ELSE upto - size END AS BIGINT) AS mask_a,
+       CAST(CASE WHEN mine THEN upto - 1 ELSE upto - size END AS BIGINT) AS mask_b
+FROM w
+""".replace("\\\\", "\\")
+
+
 @_query
 def op5_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of the rows."""
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_extendible_hash_shards"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         array_to_string(list_transform(string_split(md5(coalesce(CAST(doc_id AS VARCHAR), '')), ''),
+           lambda c: substr(right(bin(CAST('0x' || c AS INTEGER) + 16), 4), 1, 4)), '') AS bits
+  FROM documents),
+b AS (
+  SELECT bits, n_bytes, doc_id, 0 AS depth, sum(n_bytes) OVER () AS held, count(*) OVER () AS n FROM d
+  UNION ALL
+  SELECT bits, n_bytes, doc_id, depth + 1, sum(n_bytes) OVER (PARTITION BY substr(bits, 1, depth + 1)),
+         count(*) OVER (PARTITION BY substr(bits, 1, depth + 1))
+  FROM b WHERE held > {sharding.SHARD_BYTES} AND n > 1 AND depth < 128)
+SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, depth, CAST(held AS BIGINT) AS shard_bytes
+FROM b WHERE held <= {sharding.SHARD_BYTES} OR n = 1
+"""
+
+
 @_query
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures of every document, and verdicts with those of its host."""

@@ -10,8 +10,8 @@
    over ``m - radius``; those inner ends go to both sides.  So each linked pair
    meets in at least one shard, and only the boundary is repeated.
 4. Each shard continues the same recursion down to small blocks, which are compared
-   exactly, and returns a spanning forest of its links, never all pairs.
-5. Components of the links are joined back to the documents.
+   exactly, and returns its components, never pairs.
+5. Components that share a fingerprint are merged and joined back to the documents.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
+from tessera.llm.components import merge_groups
 from tessera.scratch import materialize
 
 SEED = 42
@@ -141,21 +141,31 @@ def _forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """(u, v) of distinct points, whose components are those of all pairs within ``radius`` bits."""
+def near_groups(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """(node, root) of the distinct points that have another within ``radius`` bits; root is the least of their component."""
     rng, found, todo = np.random.default_rng(SEED), [], [points]
     while todo:
         block = todo.pop()
         node = _split(block, radius, rng) if len(block) > BLOCK_ROWS else None
         if node is None:
-            found += [(block[a], block[b]) for a, b in _forest(block, radius)]
+            found += [(int(block[a]), int(block[b])) for a, b in _forest(block, radius)]
             continue
         todo += [block[side] for side in _sides(block, node, radius)]
-    return np.array(found, np.uint64).reshape(-1, 2)
+    above = {x: x for link in found for x in link}
 
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
 
-def link_fingerprints(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample: int = ROUTER_SAMPLE) -> DataFrame:
-    """(u, v): links of distinct fingerprints, enough to connect every pair within ``radius`` bits."""
+    for a, b in found:
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    return np.array([(x, top(x)) for x in above], np.uint64).reshape(-1, 2)
+
+
+def group_fingerprints(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample: int = ROUTER_SAMPLE) -> DataFrame:
+    """(node, root): shards' components of distinct fingerprints; those that share a node belong together."""
     spark = prints.sparkSession
     n = prints.count()
     picked = prints.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample).collect()
@@ -170,11 +180,11 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, shard_rows: int =
 
     def search(group: pa.Table) -> pa.Table:
         own = np.unique(group.column("fingerprint").to_numpy()).view(np.uint64)
-        links = near_links(own, radius).view(np.int64)
-        return pa.table({"u": links[:, 0], "v": links[:, 1]})
+        groups = near_groups(own, radius).view(np.int64)
+        return pa.table({"node": groups[:, 0], "root": groups[:, 1]})
 
     dealt = prints.select("fingerprint").mapInArrow(deal, "shard int, fingerprint bigint")
-    return dealt.groupBy("shard").applyInArrow(search, "u bigint, v bigint")
+    return dealt.groupBy("shard").applyInArrow(search, "node bigint, root bigint")
 
 
 def near_duplicate_components(
@@ -189,8 +199,7 @@ def near_duplicate_components(
     """
     signed = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     prints = materialize(signed.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct-prints")
-    links = materialize(link_fingerprints(prints, radius, shard_rows), "links")
-    roots = connected_components(links)
+    roots = materialize(merge_groups(group_fingerprints(prints, radius, shard_rows)), "roots")
     owned = prints.join(roots, prints.fingerprint == roots.node, "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
