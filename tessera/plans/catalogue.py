@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from tessera.plans import tpch  # noqa: F401
+from tessera.plans import relational, tpch  # noqa: F401
