@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, host_quality, langid, nbest, secrets, sharding, simhash_dedup, toxicity
+from tessera.llm import chat, decontaminate, host_quality, langid, licenses, nbest, secrets, sharding, simhash_dedup, toxicity
 from tessera.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,12 @@ def op8_simhash_vantage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_license_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License families that each document's paragraphs grant."""
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labels."""
