@@ -10,6 +10,7 @@ import json
 import re
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,8 +98,6 @@ def contains(j: Column, pattern: str) -> Column:
 
 def contains_column(j: Column, pattern: Column) -> Column:
     """j @> pattern for a pattern that differs by row: Arrow batches through Python."""
-    import pandas as pd
-
     def within(a: Any, b: Any) -> bool:
         if isinstance(b, dict):
             return isinstance(a, dict) and all(k in a and within(a[k], x) for k, x in b.items())
