@@ -34,6 +34,8 @@ PREFIXES, SUFFIXES = (4, 5, 6, 7, 8, 9), (4, 5)
 #: Evidence that a feature needs to mark tokens: its smoothed log odds, and those in standard errors.
 LEAST_ODDS, LEAST_ERRORS = 2.0, 2.5
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-4
+#: Marginals under this count as none in a document's score: else the faint doubt of many clean tokens adds up.
+FLOOR = 0.1
 #: Tokens in a row of the batch, and words that a worker remembers.
 ROW, REMEMBERED = 256, 400_000
 
@@ -118,6 +120,7 @@ def _summary(marginals: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Per text: 1, log odds of the noisy-or, log of one plus the expected toxic tokens, their share, and the length's log."""
     out = np.zeros((len(bounds) - 1, 5))
     out[:, 0] = 1.0
+    marginals = np.where(marginals >= FLOOR, marginals, 0.0)
     clear = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(marginals, 1 - 1e-6)))])
     total = np.concatenate([[0.0], np.cumsum(marginals)])
     none = clear[bounds[1:]] - clear[bounds[:-1]]
