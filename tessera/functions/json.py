@@ -96,30 +96,38 @@ def contains(j: Column, pattern: str) -> Column:
     return F.when(j.isNotNull(), F.coalesce(_within(F.try_parse_json(j), json.loads(pattern)), F.lit(False)))
 
 
-def contains_column(j: Column, pattern: Column) -> Column:
+def _holds(a: Any, b: Any) -> bool:
+    if isinstance(b, dict):
+        return isinstance(a, dict) and all(k in a and _holds(a[k], x) for k, x in b.items())
+    if isinstance(b, list):
+        return isinstance(a, list) and all(any(_holds(y, x) for y in a) for x in b)
+    if isinstance(a, list):
+        return any(_holds(y, b) for y in a if not isinstance(y, list))
+    return type(a) is not dict and isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
+def _decide(x: str | None, y: str | None) -> bool | None:
+    if x is None or y is None:
+        return None
+    try:
+        return _holds(json.loads(x), json.loads(y))
+    except ValueError:
+        return False
+
+
+def contains_udf():
     """j @> pattern for a pattern that differs by row: Arrow batches through Python."""
-    def within(a: Any, b: Any) -> bool:
-        if isinstance(b, dict):
-            return isinstance(a, dict) and all(k in a and within(a[k], x) for k, x in b.items())
-        if isinstance(b, list):
-            return isinstance(a, list) and all(any(within(y, x) for y in a) for x in b)
-        if isinstance(a, list):
-            return any(within(y, b) for y in a if not isinstance(y, list))
-        return type(a) is not dict and isinstance(a, bool) == isinstance(b, bool) and a == b
-
-    def decide(x: str | None, y: str | None) -> bool | None:
-        if x is None or y is None:
-            return None
-        try:
-            return within(json.loads(x), json.loads(y))
-        except ValueError:
-            return False
 
     @F.pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([decide(a, b) for a, b in zip(x, y)], dtype=object)
+        return pd.Series([_decide(a, b) for a, b in zip(x, y)], dtype=object)
+
+    return run
 
-    return run(j, pattern)
+
+def contains_column(j: Column, pattern: Column) -> Column:
+    """j @> pattern for a pattern in a column."""
+    return contains_udf()(j, pattern)
 
 
 def merge(a: Column, b: Column) -> Column:
