@@ -26,3 +26,13 @@ def lookup_all(index: DataFrame, tokens: list[str], key: str) -> DataFrame:
     """Keys that hold every token: one pass over the postings asked for."""
     asked = sorted(set(tokens))
     return index.where(F.col("token").isin(asked)).groupBy(key).agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(asked)).select(key)
+
+
+def remove(index: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The index without some keys."""
+    return index.join(keys.select(key).distinct(), key, "left_anti").select("token", key)
+
+
+def counts(index: DataFrame, key: str) -> DataFrame:
+    """One row: (tokens, documents) of the index."""
+    return index.agg(F.count_distinct("token").alias("tokens"), F.count_distinct(key).alias("documents"))
