@@ -6,18 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str], width: float | None = None) -> DataFrame:
     """Each left row with the columns ``take`` of the last right row of the same ``by`` at or before its ``on``.
 
-    One shuffle of the union by key, then a running last value; no pairs are made.
+    One shuffle of the union by key, then a running last value; no pairs are made.  With
+    ``width`` (in the units of ``on`` as a number, seconds for times) a key's rows are cut
+    into buckets, so that a hot key spreads over many tasks; the last right row of the
+    earlier buckets is carried in from one row per bucket.
     """
     a = left.select("*", F.lit(1).alias("__side"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"__{c}") for c in take])
     b = right.select(F.col(by), F.col(on), F.lit(0).alias("__side"), *[F.col(c).alias(f"__{c}") for c in take])
     both = a.unionByName(b, allowMissingColumns=True)
-    upto = Window.partitionBy(by).orderBy(F.col(on).asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.col(on).cast("timestamp").cast("double") if right.schema[on].dataType.typeName().startswith("timestamp") else F.col(on).cast("double")
+    both = both.withColumn("__bucket", F.lit(0) if width is None else F.floor(number / width))
+    upto = Window.partitionBy(by, "__bucket").orderBy(F.col(on).asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("__side") == 0, F.struct(*[F.col(f"__{c}").alias(c) for c in take]))
-    found = both.withColumn("__last", F.last(mark, ignorenulls=True).over(upto)).where("__side = 1")
-    return found.select(*left.columns, *[F.col("__last")[c].alias(f"right_{c}") for c in take])
+    found = both.withColumn("__last", F.last(mark, ignorenulls=True).over(upto))
+    if width is not None:
+        ends = both.withColumn("__mark", mark).groupBy(by, "__bucket").agg(F.max_by("__mark", F.when(F.col("__side") == 0, F.col(on))).alias("__end"))
+        earlier = Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col(by).alias("__by"), F.col("__bucket").alias("__nth"), F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+        found = found.join(carried, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__bucket") == F.col("__nth")), "left")
+        found = found.withColumn("__last", F.coalesce("__last", "__carried"))
+    return found.where("__side = 1").select(*left.columns, *[F.col("__last")[c].alias(f"right_{c}") for c in take])
 
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:

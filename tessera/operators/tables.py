@@ -32,11 +32,16 @@ def delete(df: DataFrame, where: Column | None = None) -> DataFrame:
     return df.where(F.lit(False)) if where is None else df.where(~F.coalesce(where, F.lit(False)))
 
 
-def analyze(df: DataFrame) -> DataFrame:
-    """(column_name, n_rows, n_null, n_distinct, least, greatest), one pass over all columns."""
+def analyze(df: DataFrame, exact: bool = True) -> DataFrame:
+    """(column_name, n_rows, n_null, n_distinct, least, greatest).
+
+    Exact distinct counts shuffle every column's values; without ``exact`` sketches count
+    them in one pass.
+    """
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     aggs = [F.count("*").alias("n")]
     for c in df.columns:
-        aggs += [F.count(F.col(c)).alias(f"{c}__set"), F.count_distinct(F.col(c)).alias(f"{c}__ndv"), F.min(c).cast("string").alias(f"{c}__min"), F.max(c).cast("string").alias(f"{c}__max")]
+        aggs += [F.count(F.col(c)).alias(f"{c}__set"), distinct(F.col(c)).alias(f"{c}__ndv"), F.min(c).cast("string").alias(f"{c}__min"), F.max(c).cast("string").alias(f"{c}__max")]
     one = df.agg(*aggs)
     each = F.array(
         *[

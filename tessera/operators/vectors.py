@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from tessera.scratch import materialize
 
 #: Rows that centroids are fitted on; every row is listed.
 FIT_ROWS = 20_000
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 4_096
 
 
 def knn(df: DataFrame, vector: str, query: list[float], k: int, key: str, where: Column | None = None) -> DataFrame:
@@ -22,16 +25,25 @@ def knn(df: DataFrame, vector: str, query: list[float], k: int, key: str, where:
     return near.orderBy(F.col("distance").asc_nulls_last(), key).limit(k)
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, vector: str, key: str, k: int) -> DataFrame:
-    """(query, key, distance, rank) for a stated set of queries, which are broadcast, against all rows.
+def knn_batch(df: DataFrame, queries: DataFrame, vector: str, key: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, key, distance, rank) for a stated set of queries against all rows.
 
-    Each task keeps the k best of its rows for a query before the shuffle, so what is
-    exchanged follows the queries, not the rows.
+    Queries are counted and go out in blocks of a bounded number, each broadcast.  A task
+    keeps the k best of its rows for a query before the shuffle, so what is exchanged
+    follows the queries, not the rows.
     """
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("__q")))
-    far = df.select(F.col(key), F.col(vector).alias("__v")).join(q).select("query", key, l2(F.col("__v"), F.col("__q")).alias("distance"))
+    blocks = max(1, -(-queries.count() // block))
+    named = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
+    if blocks > 1:
+        named = materialize(named.withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(blocks))), "queries")
+    rows = df.select(F.col(key), F.col(vector).alias("__v"))
     order = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), key)
-    return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    parts = []
+    for i in range(blocks):
+        q = F.broadcast(named.where(F.col("__block") == i).drop("__block") if blocks > 1 else named)
+        far = rows.join(q).select("query", key, l2(F.col("__v"), F.col("__q")).alias("distance"))
+        parts.append(far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass

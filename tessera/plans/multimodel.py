@@ -330,7 +330,7 @@ def token_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     clicks = e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
-    found = relational.asof_join(e.where("event_type = 'purchase'"), clicks, "user_id", "ts", ["event_id"])
+    found = relational.asof_join(e.where("event_type = 'purchase'"), clicks, "user_id", "ts", ["event_id"], width=86400.0)
     return found.select("event_id", F.coalesce("right_event_id", F.lit(-1)).alias("right_event_id"))
 
 

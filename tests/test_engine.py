@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import json as j
 from tessera.functions import scalar, vectors
 from tessera.operators import graph, relational, tables, tokens
+from tessera.operators import vectors as nearest
 from tessera.sources import files
 from tessera.sources.catalog import CATALOG_VIEWS, catalog_view
 
@@ -108,6 +109,15 @@ def test_asof_join(spark):
     b = spark.createDataFrame([(1, 2, "x"), (1, 5, "y")], "k int, t int, v string")
     got = {(r.k, r.t): r.right_v for r in relational.asof_join(a, b, "k", "t", ["v"]).collect()}
     assert got == {(1, 5): "y", (1, 1): None, (2, 9): None}
+    for width in (1.0, 3.0, 100.0):
+        assert got == {(r.k, r.t): r.right_v for r in relational.asof_join(a, b, "k", "t", ["v"], width).collect()}
+
+
+def test_knn_in_blocks(spark):
+    points = spark.createDataFrame([(i, [float(i % 7), float(i // 7)]) for i in range(40)], "id int, v array<double>")
+    queries = points.where("id % 5 = 0")
+    whole, parts = (nearest.knn_batch(points, queries, "v", "id", 3, block=n).select("query", "id", "rank").collect() for n in (100, 3))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and len(whole) == 24
 
 
 def test_files_round_trip(spark, tmp_path):
