@@ -257,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, rows: int = SAMPLE_R
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).where("toxic in (0, 1)").collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, rows / max(1, sizes.get(0, 0)))))
     picked = marked.where(F.col("toxic").isin(0, 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)))
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")).collect()
+    # About 2 * rows numbers, whatever the input: they go to the documents, not the documents to them.
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")).collect()
     found.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["toxic"]))
     return learn([r["text"] or "" for r in found], [r["toxic"] for r in found])
 
