@@ -167,15 +167,15 @@ q("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders
 q("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", ("orders",))
 
 # Windows
-q("win_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders", ("orders",))
-q("win_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS dr FROM part", ("part",))
+q("win_row_number", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM orders", ("orders",))
+q("win_rank", "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS BIGINT) AS dr FROM part", ("part",))
 q("win_lag", "SELECT o_orderkey, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), -1) AS before FROM orders", ("orders",))
 q("win_lead", "SELECT o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), -1) AS after FROM orders", ("orders",))
 q("win_lag_offset2", "SELECT o_orderkey, coalesce(lag(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -1) AS before FROM orders", ("orders",))
 q(
     "win_two_windows",
-    """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS by_customer,
-              row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS by_priority FROM orders""",
+    """SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS by_customer,
+              CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS BIGINT) AS by_priority FROM orders""",
     ("orders",),
 )
 q("win_running_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders", ("orders",))
@@ -184,7 +184,7 @@ q(
     "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS smooth FROM orders",
     ("orders",),
 )
-q("win_ntile", "SELECT s_suppkey, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS quarter FROM supplier", ("supplier",))
+q("win_ntile", "SELECT s_suppkey, CAST(ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS quarter FROM supplier", ("supplier",))
 q(
     "win_first_last",
     """SELECT s_suppkey, first_value(s_suppkey) OVER w AS first_key, last_value(s_suppkey) OVER w AS last_key FROM supplier
@@ -196,7 +196,7 @@ q(
 q("sort_multi", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand ASC NULLS LAST, p_size DESC NULLS LAST, p_partkey LIMIT 50", ("part",))
 q("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 35", ("orders",))
 q("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10", ("lineitem",))
-q("topk_per_group", "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r <= 2", ("orders",))
+q("topk_per_group", "SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r FROM orders) t WHERE r <= 2", ("orders",))
 
 # CTEs and set operations
 q("cte_basic", "WITH x AS (SELECT n_nationkey FROM nation WHERE n_nationkey > 10) SELECT n_nationkey FROM x", ("nation",))
