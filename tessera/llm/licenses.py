@@ -15,6 +15,7 @@ join, and only sums per line are exchanged.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -246,7 +247,8 @@ def license_lines(docs: DataFrame, model: Classifier | None = None) -> tuple[Dat
     rows = rows.select("__row", "doc_id", F.size(F.filter("lines", lambda x: F.size(x["words"]) > 0)).cast("bigint").alias("n_paragraphs"), some.alias("lines"))
     rows = materialize(rows, "license-lines")
     each = rows.select("__row", F.explode("lines").alias("x")).select("__row", "x.line", _grams(F.col("x.words")).alias("grams"))
-    table = spark.createDataFrame([(f, w) for f, w in model.weights.items()], "gram string, weights array<double>")
+    spelled = F.lit(json.dumps([{"gram": f, "weights": w} for f, w in model.weights.items()]))
+    table = spark.range(1).select(F.inline(F.from_json(spelled, "array<struct<gram:string,weights:array<double>>>")))
     hits = each.withColumn("gram", F.explode("grams")).join(F.broadcast(table), "gram")
     k = len(model.classes)
     sums = hits.groupBy("__row", "line").agg(*[F.sum(F.round(F.col("weights")[i] * 1e9).cast("bigint")).alias(f"s{i}") for i in range(k)], F.first("grams").alias("grams"))
