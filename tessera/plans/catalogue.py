@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from tessera.plans import multimodel, relational, tpch  # noqa: F401
+from tessera.plans import multimodel, relational, statements, tpch  # noqa: F401
