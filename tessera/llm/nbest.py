@@ -14,8 +14,9 @@ number of them; what is forgotten is computed again.
 
 from __future__ import annotations
 
-import heapq
+import gc
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -23,34 +24,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.pieces import MODEL_PATH, Vocabulary
+from tessera.llm.pieces import MODEL_PATH, Vocabulary, trie_of
 
 #: Chunks that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+_NEVER, _NONE = float("inf"), -1e300
 
 
 class Lattice:
     """Segmentations of single chunks."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
+        self.vocabulary, self.trie = vocabulary, trie_of(vocabulary.pieces)
 
     def edges(self, chunk: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
         """Viterbi scores of all positions, and per position the edges (begin, score, id) that end there; id -1: unknown."""
-        get, n, unknown = self.vocabulary.prefixes.get, len(chunk), self.vocabulary.unknown_score
-        best, absent = [-1e300] * (n + 1), 0
+        n, unknown, root, longest = len(chunk), self.vocabulary.unknown_score, self.trie, self.vocabulary.longest
+        best = [-1e300] * (n + 1)
         best[0] = 0.0
         ending: list[list[tuple[int, float, int]]] = [[] for _ in best]
         for begin in range(n):
-            base, end, alone = best[begin], begin + 1, True
-            while end <= n and (found := get(chunk[begin:end], absent)) is not absent:
-                if found is not None:
-                    piece, score = found
+            base, end, node, alone = best[begin], begin, root, True
+            for c in chunk[begin : begin + longest]:
+                found = node.get(c)
+                if found is None:
+                    break
+                end += 1
+                node, value = found
+                if value is not None:
+                    piece, score = value
                     ending[end].append((begin, score, piece))
                     if base + score > best[end]:
                         best[end] = base + score
-                    alone = alone and end != begin + 1
-                end += 1
+                    if end == begin + 1:
+                        alone = False
             if alone:
                 ending[begin + 1].append((begin, unknown, -1))
                 if base + unknown > best[begin + 1]:
@@ -60,29 +67,72 @@ class Lattice:
     def nbest(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
         """(score, ids) of the n best paths, the best first; fewer if there are fewer."""
         best, ending = self.edges(chunk)
-        if n == 1 or len(chunk) == 1:
-            return self._viterbi(chunk, best, ending)
         out: list[tuple[float, list[int]]] = []
-        count = 0
-        # (minus the score of the best complete path through here, position, number, score so far, path)
-        queue = [(-best[-1], len(chunk), 0, 0.0, None)]
-        while queue and len(out) < n:
-            _, at, _, score, path = heapq.heappop(queue)
+        # (minus the score of the best complete path through here, position, number, score so far, path).  Entries
+        # stand for different complete paths, so beyond the best n - len(out) of them none can be among the n best.
+        queue: list[tuple] = [(-best[-1], len(chunk), 0, 0.0, None)]
+        count, room = 0, n
+        while queue:
+            _, at, _, score, path = queue.pop(0)
             if not at:
                 out.append((score, self._ids(chunk, path)))
+                room -= 1
+                if not room:
+                    break
                 continue
             for begin, own, piece in ending[at]:
-                count += 1
                 got = score + own
-                heapq.heappush(queue, (-(got + best[begin]), begin, count, got, (piece, begin, path)))
+                cost = -(got + best[begin])
+                if len(queue) < room or cost < queue[-1][0]:
+                    count += 1
+                    insort(queue, (cost, begin, count, got, (piece, begin, path)))
+                    if len(queue) > room:
+                        queue.pop()
         return out
 
-    def _viterbi(self, chunk: str, best: list[float], ending: list) -> list[tuple[float, list[int]]]:
-        at, path = len(chunk), None
+    def best(self, chunk: str) -> tuple[list[int], float, float]:
+        """(ids, score, loss) of the best path, by the forward pass alone.
+
+        loss: by how much the next best path scores less, without end if there is none.
+        That path leaves the best one backwards at some position, by the second best edge
+        that ends there.
+        """
+        n, unknown, root, longest = len(chunk), self.vocabulary.unknown_score, self.trie, self.vocabulary.longest
+        first, second, came = [_NONE] * (n + 1), [_NONE] * (n + 1), [(0, -1)] * (n + 1)
+        first[0] = 0.0
+        for begin in range(n):
+            base, end, node, alone = first[begin], begin, root, True
+            for c in chunk[begin : begin + longest]:
+                found = node.get(c)
+                if found is None:
+                    break
+                end += 1
+                node, value = found
+                if value is not None:
+                    score = base + value[1]
+                    if score > first[end]:
+                        first[end], second[end], came[end] = score, first[end], (begin, value[0])
+                    elif score > second[end]:
+                        second[end] = score
+                    if end == begin + 1:
+                        alone = False
+            if alone:
+                end, score = begin + 1, base + unknown
+                if score > first[end]:
+                    first[end], second[end], came[end] = score, first[end], (begin, -1)
+                elif score > second[end]:
+                    second[end] = score
+        at, path, loss = n, [], _NEVER
         while at:
-            begin, _, piece = max(ending[at], key=lambda e: best[e[0]] + e[1])
-            path, at = (piece, begin, path), begin
-        return [(best[-1], self._ids(chunk, path))]
+            if second[at] > _NONE and first[at] - second[at] < loss:
+                loss = first[at] - second[at]
+            begin, piece = came[at]
+            path.append((piece, begin))
+            at = begin
+        linked = None
+        for piece, begin in path:
+            linked = (piece, begin, linked)
+        return self._ids(chunk, linked), first[n], loss
 
     def _ids(self, chunk: str, path: tuple | None) -> list[int]:
         out: list[int] = []
@@ -97,42 +147,64 @@ class Lattice:
 
 
 class Encoder:
-    """N best segmentations of whole texts, with remembered chunks."""
+    """N best segmentations of whole texts, with remembered chunks.
+
+    What is remembered has two generations: chunks met since the last turn, and those of
+    the one before, which move over when they are met again.
+    """
 
     def __init__(self, vocabulary: Vocabulary, n: int, remembered: int = REMEMBERED) -> None:
         self.vocabulary, self.lattice, self.n, self.remembered = vocabulary, Lattice(vocabulary), n, remembered
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def chunk(self, chunk: str) -> tuple:
-        """(packed ids, score, least loss of another path, [(loss, packed ids)])."""
-        paths = self.lattice.nbest(chunk, self.n)
-        top = paths[0][0]
-        others = [(top - s, array("i", ids).tobytes()) for s, ids in paths[1:]]
-        if len(self.known) >= self.remembered:
-            self.known.clear()
-        own = (array("i", paths[0][1]).tobytes(), top, others[0][0] if others else None, others)
+        """(packed ids, score, loss of the next best path); other paths are searched where they are wanted."""
+        own = self.older.get(chunk)
+        if own is None:
+            ids, score, loss = self.lattice.best(chunk)
+            own = (array("i", ids).tobytes(), score, loss)
+        if len(self.known) >= self.remembered // 2:
+            self.older, self.known = self.known, {}
         self.known[chunk] = own
         return own
 
+    def others(self, chunk: str, best: bytes) -> list[tuple[float, bytes]]:
+        """(loss, packed ids) of the next paths, by the backward search; paths that tie with the best may come in any order."""
+        paths = self.lattice.nbest(chunk, self.n)
+        found = [(paths[0][0] - s, array("i", ids).tobytes()) for s, ids in paths]
+        return [x for x in found if x[1] != best][: self.n - 1]
+
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """(score, ids as packed int32) of the n best segmentations; equal scores: the earliest deviation first."""
-        get, make = self.known.get, self.chunk
-        parts = [get(c) or make(c) for c in self.vocabulary.chunks(text)]
+        make = self.chunk
+        chunks = self.vocabulary.chunks(text)
+        parts = list(map(self.known.get, chunks))
+        if None in parts:
+            parts = [p or make(c) for p, c in zip(parts, chunks)]
         ids = [p[0] for p in parts]
         score = sum([p[1] for p in parts])
         out = [(score, b"".join(ids))]
         if self.n == 1:
             return out
-        # (loss, changes): the n least sums of at most one deviation in each chunk
-        least = heapq.nsmallest(self.n - 1, [(p[2], at) for at, p in enumerate(parts) if p[2] is not None])
+        # The n - 1 chunks with the least losses; then the n least sums of at most one deviation in each.
+        losses, least = [p[2] for p in parts], []
+        for _ in range(min(self.n - 1, len(parts))):
+            loss = min(losses)
+            if loss == _NEVER:
+                break
+            at = losses.index(loss)
+            losses[at] = _NEVER
+            least.append(at)
         sums: list[tuple[float, tuple]] = [(0.0, ())]
-        for _, at in sorted(least, key=lambda x: x[1]):
-            sums += [(loss + own, (*changes, (at, k))) for loss, changes in sums for k, (own, _) in enumerate(parts[at][3])]
-            sums = heapq.nsmallest(self.n, sums)
+        others = {at: self.others(chunks[at], ids[at]) for at in least}
+        for at in sorted(least):
+            sums += [(loss + own, (*changes, (at, k))) for loss, changes in sums for k, (own, _) in enumerate(others[at])]
+            sums = sorted(sums)[: self.n]
         for loss, changes in sums[1:]:
             other = list(ids)
             for at, k in changes:
-                other[at] = parts[at][3][k][1]
+                other[at] = others[at][k][1]
             out.append((score - loss, b"".join(other)))
         return out
 
@@ -164,6 +236,7 @@ def encode_nbest(docs: DataFrame, n: int = 3, path: str = MODEL_PATH, digest: bo
         encoder = _ENCODERS.get(key)
         if encoder is None:
             encoder = _ENCODERS[key] = Encoder(model.value, n)
+            gc.freeze()  # the trie lives as long as the worker: later collections need not walk it
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -19,6 +19,22 @@ _CHUNKS = (rf"{BLANK}*[^\W\d_¹²³]+|{BLANK}*(?:[^{BLANK}\w]|[\d_¹²³])+|{BLA
 UNKNOWN_PENALTY = 10.0
 
 
+def trie_of(pieces: dict[str, tuple]) -> dict[str, tuple]:
+    """A trie: character -> (children, value), value None where no piece ends."""
+    root: dict = {}
+    for piece, value in pieces.items():
+        node = root
+        for c in piece[:-1]:
+            node = node.setdefault(c, [{}, None])[0]
+        node.setdefault(piece[-1], [{}, None])[1] = value
+    none: dict = {}
+
+    def frozen(node: dict) -> dict:
+        return {c: (frozen(children) if children else none, value) for c, (children, value) in node.items()}
+
+    return frozen(root)
+
+
 @dataclass
 class Vocabulary:
     """Scored pieces with their ids, byte pieces, and the unknown id."""
@@ -29,7 +45,6 @@ class Vocabulary:
     dummy_prefix: bool = True
     longest: int = 0
     pattern: re.Pattern = field(init=False)
-    prefixes: dict[str, tuple[int, float] | None] = field(init=False)
     spelled: list[bytes] = field(init=False)
     unknown_score: float = field(init=False)
 
@@ -38,8 +53,6 @@ class Vocabulary:
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         patterns = [re.compile(p) for p in _CHUNKS]
         self.pattern = next((p for p in patterns if all(p.fullmatch(x) for x in self.pieces)), patterns[-1])
-        #: Every prefix of a piece, with its id and score where it is a piece itself.
-        self.prefixes = {x[:k]: None for x in self.pieces for k in range(1, len(x))} | self.pieces
         ids = [i for i, _ in self.pieces.values()] + list(self.bytes_.values()) + [self.unknown]
         self.spelled = [b""] * (max(ids) + 1)
         self.spelled[self.unknown] = " ⁇ ".encode()
