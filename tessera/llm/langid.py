@@ -14,13 +14,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.pieces import BLANK, MODEL_PATH, Vocabulary
+from tessera.llm.pieces import BLANK, MODEL_PATH, Vocabulary, trie_of
 from tessera.scratch import materialize
 
 UNDETERMINED = "und"
@@ -32,6 +33,9 @@ UNKNOWN = 1e-7
 #: Words that a worker remembers; letters up to which words are summed in groups without logarithms.
 REMEMBERED, SHORT = 400_000, 40
 
+#: Bits of an edge's length and piece.
+_LENGTH, _PIECE = 10, 24
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -46,21 +50,27 @@ class PieceLattice:
     def __init__(self, pieces: list[str]) -> None:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
-        self.prefixes: dict[str, int] = {x[:k]: -1 for x in pieces for k in range(1, len(x))} | self.number
+        self.trie, self.longest = trie_of(self.number), max(map(len, pieces), default=1)
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(begin, end, piece) of the word after the blank sign, by begin."""
+    def edges(self, word: str) -> list[int]:
+        """Edges of the word after the blank sign, by begin: begin, length and piece in the bits of one number."""
         chars = BLANK + word
-        n, get, out = len(chars), self.prefixes.get, []
-        for begin in range(n):
-            end, alone = begin + 1, True
-            while end <= n and (piece := get(chars[begin:end])) is not None:
-                if piece >= 0:
-                    out.append((begin, end, piece))
-                    alone = alone and end != begin + 1
+        out: list[int] = []
+        root, longest = self.trie, self.longest
+        for begin in range(len(chars)):
+            end, node, alone = begin, root, True
+            for c in chars[begin : begin + longest]:
+                found = node.get(c)
+                if found is None:
+                    break
                 end += 1
+                node, piece = found
+                if piece is not None:
+                    out.append((begin << _LENGTH | end - begin) << _PIECE | piece)
+                    if end == begin + 1:
+                        alone = False
             if alone:
-                out.append((begin, begin + 1, self.unknown))
+                out.append((begin << _LENGTH | 1) << _PIECE | self.unknown)
         return out
 
 
@@ -75,8 +85,9 @@ class Model:
         """As word_scores, for one word of any length, in logarithms."""
         logs, n = np.log(self.chances), len(word) + 1
         ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for begin, end, piece in self.lattice.edges(word):
-            ending[end].append((begin, piece))
+        for edge in self.lattice.edges(word):
+            begin, length = divmod(edge >> _PIECE, 1 << _LENGTH)
+            ending[begin + length].append((begin, edge & (1 << _PIECE) - 1))
         alpha = np.zeros((n + 1, len(self.languages)))
         for end in range(1, n + 1):
             begins, pieces = zip(*ending[end])
@@ -95,18 +106,23 @@ class Model:
         return out
 
 
-def forward(edges: list[list[tuple[int, int, int]]], lengths: list[int], chances: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+def forward(edges: list[list[int]], lengths: list[int], chances: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
     """(total per word, alpha, steps): the forward algorithm over many short words at once.
 
     Edges that begin at the same position and have the same length belong to different
     words, so each such step is one array operation.
     """
     count, wide = len(edges), max(lengths) + 1
-    flat = np.array([(w, *e) for w, own in enumerate(edges) for e in own], np.int32)
-    key = flat[:, 1].astype(np.int64) * wide + (flat[:, 2] - flat[:, 1])
+    flat = np.fromiter(chain.from_iterable(edges), np.int64, sum(map(len, edges)))
+    words = np.repeat(np.arange(count), [len(e) for e in edges])
+    key = flat >> _PIECE
     order = np.argsort(key, kind="stable")
-    flat, cuts = flat[order], np.flatnonzero(np.diff(key[order])) + 1
-    steps = [(s[0, 1], s[0, 2], s[:, 0], s[:, 3]) for s in np.split(flat, cuts)]
+    key, pieces, words = key[order], flat[order] & (1 << _PIECE) - 1, words[order]
+    cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    steps = []
+    for a, b in zip(cuts, cuts[1:]):
+        begin, length = divmod(int(key[a]), 1 << _LENGTH)
+        steps.append((begin, begin + length, words[a:b], pieces[a:b]))
     alpha = np.zeros((wide, count, chances.shape[1]))
     alpha[0] = 1.0
     for begin, end, word, piece in steps:
