@@ -221,8 +221,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows")), "keepers")
     once, more = keep.where("__rows = 1").select(F.col("doc_id").alias("__id")), keep.where("__rows > 1").select(F.col("doc_id").alias("__id"))
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
-    kept = docs.join(once, same, "left_semi")
+    # Keepers grow with the documents: never a broadcast, whatever their size happens to be.
+    kept = docs.join(once.hint("merge"), same, "left_semi")
     if more.isEmpty():
         return kept
-    again = docs.join(more, same, "left_semi").groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    again = docs.join(more.hint("merge"), same, "left_semi").groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("__row"))
     return kept.unionByName(again.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
