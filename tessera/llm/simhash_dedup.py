@@ -212,18 +212,25 @@ def near_duplicate_components(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the row with its least id.
+    """The documents without near copies: of each component the row with its least id, nulls last.
 
-    If that id is on several rows, the least of them by all columns stays.  Rows
-    without an id stay only if their component has no id at all.
+    If an id is on several texts of a component, the one of least hash stays; if that text
+    comes several times with the id, the least row by all columns.
     """
-    found = near_duplicate_components(docs, id_col, text_col)
-    keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows")), "keepers")
-    once, more = keep.where("__rows = 1").select(F.col("doc_id").alias("__id")), keep.where("__rows > 1").select(F.col("doc_id").alias("__id"))
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
+    node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    named = docs.withColumn("__node", node)
+    texts = named.select(F.col("__node").alias("node"), F.col(text_col).cast("string").alias("text"))
+    found = near_duplicate_components(texts, "node").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    linked = materialize(found, "linked")
+    rows = named.groupBy(F.col(id_col).cast("bigint").alias("__id"), "__node").agg(F.count("*").alias("__rows"))
+    owned = rows.join(linked, rows["__node"] == linked.node, "left").withColumn("__root", F.coalesce("root", "__node"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__node", "__rows")).alias("k")
+    keep = materialize(owned.groupBy("__root").agg(first).select("k.__id", F.col("k.__node").alias("__kept"), "k.__rows"), "keepers")
+    once, more = keep.where("__rows = 1"), keep.where("__rows > 1")
+    same = (F.col("__node") == F.col("__kept")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
     # Keepers grow with the documents: never a broadcast, whatever their size happens to be.
-    kept = docs.join(once.hint("merge"), same, "left_semi")
+    kept = named.join(once.hint("merge"), same, "left_semi").drop("__node")
     if more.isEmpty():
         return kept
-    again = docs.join(more.hint("merge"), same, "left_semi").groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    again = named.join(more.hint("merge"), same, "left_semi").groupBy(id_col, "__node").agg(F.min(F.struct(*docs.columns)).alias("__row"))
     return kept.unionByName(again.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))

@@ -102,3 +102,14 @@ def test_documents(spark):
     kept = sd.drop_near_duplicates(docs).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(names.values()))
     assert sd.near_duplicate_components(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    a, b, c, d, e = (" ".join(rng.choices(words, k=60)) for _ in range(5))
+    rows = [(None, a, 1), (None, b, 1), (None, b, 2)]  # different texts without ids
+    rows += [(7, c, 1), (7, d, 1)]  # one id, two texts
+    rows += [(1, e, 1), (7, e, 1), (None, e, 1), (1, e, 1)]  # a keeper elsewhere is a copy here
+    got = sd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, x int")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a, 1), (None, b, 1), (7, c, 1), (7, d, 1), (1, e, 1)], key=str)
