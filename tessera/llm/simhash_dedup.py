@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import merge_groups
+from tessera.llm.similar import similar_components
 from tessera.scratch import materialize
 
 SEED = 42
@@ -211,16 +212,23 @@ def near_duplicate_components(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float | None = None
+) -> DataFrame:
     """The documents without near copies: of each component the row with its least id, nulls last.
 
+    Near copies are texts with linked fingerprints or, if a similarity is given, texts whose
+    ``k``-word shingles have a Jaccard index of that or more, whatever their fingerprints.
     If an id is on several texts of a component, the one of least hash stays; if that text
     comes several times with the id, the least row by all columns.
     """
     node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     named = docs.withColumn("__node", node)
     texts = named.select(F.col("__node").alias("node"), F.col(text_col).cast("string").alias("text"))
-    found = near_duplicate_components(texts, "node").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    if similarity is None:
+        found = near_duplicate_components(texts, "node").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    else:
+        found = similar_components(texts, k, similarity)
     linked = materialize(found, "linked")
     rows = named.groupBy(F.col(id_col).cast("bigint").alias("__id"), "__node").agg(F.count("*").alias("__rows"))
     owned = rows.join(linked, rows["__node"] == linked.node, "left").withColumn("__root", F.coalesce("root", "__node"))
