@@ -217,13 +217,14 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encode_nbest(docs: DataFrame, n: int = 3, path: str = MODEL_PATH, digest: bool = False) -> DataFrame:
+def encode_nbest(docs: DataFrame, n: int = 3, path: str = MODEL_PATH, digest: bool = False, pieces: bool = False) -> DataFrame:
     """(doc_id, ids, scores, nbest, round_trip): a row per document.
 
     ids: the best segmentation; scores: of the n best, falling; nbest: all n as arrays of
     ids; round_trip: whether decoding the best gives the text again (a literal U+2581
     reads as a blank, so such a text doesn't).  With ``digest`` the arrays come as
-    SHA-256 of their packed int32, with n_pieces, so that nothing large leaves the worker.
+    SHA-256 of their packed int32, with n_pieces, so that nothing large leaves the worker;
+    with ``pieces`` as well, the ids of the best follow them as an array of that name.
     A null text gives null columns; an empty one has no pieces and one segmentation of
     score 0.  Rows are independent: repeated rows give repeated results, and other
     columns are ignored.
@@ -243,22 +244,24 @@ def encode_nbest(docs: DataFrame, n: int = 3, path: str = MODEL_PATH, digest: bo
                 rows = []
                 for text in part.column(1).to_pylist():
                     if text is None:
-                        rows.append((None,) * 5)
+                        rows.append((None,) * 6)
                         continue
                     found = encoder.encode(text)
                     same = encoder.decode(found[0][1]) == text
-                    pack = (lambda b: sha256(b).hexdigest()) if digest else (lambda b: memoryview(b).cast("i").tolist() if b else [])
-                    rows.append((len(found[0][1]) // 4, pack(found[0][1]), [s for s, _ in found], [pack(b) for _, b in found], same))
-                count, best, scores, every, same = zip(*rows)
+                    spell = lambda b: memoryview(b).cast("i").tolist() if b else []
+                    pack = (lambda b: sha256(b).hexdigest()) if digest else spell
+                    rows.append((len(found[0][1]) // 4, pack(found[0][1]), [s for s, _ in found], [pack(b) for _, b in found], same, spell(found[0][1]) if pieces else None))
+                count, best, scores, every, same, own = zip(*rows)
                 kind = pa.string() if digest else pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(count, pa.int64()), pa.array(best, kind), pa.array(scores, pa.list_(pa.float64())), pa.array(every, pa.list_(kind)), pa.array(same, pa.bool_())],
-                    ["doc_id", "n_pieces", "ids", "scores", "nbest", "round_trip"],
+                    [part.column(0), pa.array(count, pa.int64()), pa.array(best, kind), pa.array(scores, pa.list_(pa.float64())), pa.array(every, pa.list_(kind)), pa.array(same, pa.bool_())]
+                    + ([pa.array(own, pa.list_(pa.int32()))] if pieces else []),
+                    ["doc_id", "n_pieces", "ids", "scores", "nbest", "round_trip"] + (["pieces"] if pieces else []),
                 )
 
     kind = "string" if digest else "array<int>"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id bigint, n_pieces bigint, ids {kind}, scores array<double>, nbest array<{kind}>, round_trip boolean"
+        run, f"doc_id bigint, n_pieces bigint, ids {kind}, scores array<double>, nbest array<{kind}>, round_trip boolean" + (", pieces array<int>" if pieces else "")
     )
 
 

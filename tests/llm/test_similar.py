@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from tessera.llm import nbest
 from tessera.llm import simhash_dedup as sd
 from tessera.session import table
 
@@ -55,3 +56,11 @@ def test_stage_keeps_one_of_similar_texts(spark, sf_dir):
 def test_nothing_is_similar_in_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert sd.drop_near_duplicates(docs, k=5, similarity=0.8).count() == 0
+
+
+def test_last_stage_returns_the_ids(spark):
+    docs = spark.createDataFrame([(1, "some text to encode"), (2, ""), (3, None)], "doc_id bigint, text string")
+    got = corpus_pipeline.encode(spark, docs, "")
+    assert dict(got.dtypes)["pieces"] == "array<int>"
+    back = nbest.decode_ids(got.select("doc_id", got.pieces.alias("ids")))
+    assert {r.doc_id: r.text for r in back.collect()} == {1: "some text to encode", 2: "", 3: None}
