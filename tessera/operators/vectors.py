@@ -61,6 +61,21 @@ class InvertedLists:
         lists = np.argsort(far, kind="stable")[:probes].tolist()
         return knn(self.rows.where(F.col("__list").isin(lists)), self.vector, query, k, self.key).drop("__list")
 
+    def search_batch(self, queries: DataFrame, k: int, probes: int, block: int = QUERY_BLOCK) -> DataFrame:
+        """(query, key, distance, rank) for a stated set of queries, each by its own lists; blocks as in ``knn_batch``."""
+        blocks = max(1, -(-queries.count() // block))
+        far = F.array(*[F.struct(l2(F.col("__q"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centroids)])
+        named = queries.select(F.col(self.key).alias("query"), F.col(self.vector).alias("__q"), F.pmod(F.xxhash64(self.key), F.lit(blocks)).alias("__block"))
+        named = materialize(named.withColumn("__probe", F.explode(F.slice(F.array_sort(far)["i"], 1, probes))), "probes")
+        rows = self.rows.select(F.col(self.key), F.col(self.vector).alias("__v"), "__list")
+        order = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), self.key)
+        parts = []
+        for i in range(blocks):
+            q = F.broadcast(named.where(F.col("__block") == i))
+            near = rows.join(q, rows["__list"] == q["__probe"]).select("query", self.key, l2(F.col("__v"), F.col("__q")).alias("distance"))
+            parts.append(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        return reduce(DataFrame.unionByName, parts)
+
 
 def _nearest(vector: Column, centroids: np.ndarray) -> Column:
     """Number of the nearest centroid, ties to the first."""

@@ -154,11 +154,17 @@ def vec_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+#: Inverted lists, and those asked for a query: recall@10 of 0.9 or more on the fixtures.
+ANN_LISTS, ANN_PROBES = 8, 7
+
+
 @query("vec_ann_ivf")
 def vec_ann_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest by inverted lists; the tests hold its recall against the exact ones."""
-    index = nearest.build_ivf(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", lists=8)
-    return index.search(_first(spark, sf_dir), 10, probes=4).select("vec_id", F.round("distance", 6).alias("distance"))
+    """The ten nearest of each stated query by inverted lists; the tests hold its recall against the exact ones."""
+    e = table(spark, sf_dir, "embeddings")
+    index = nearest.build_ivf(e, "embedding", "vec_id", lists=ANN_LISTS)
+    found = index.search_batch(e.where("vec_id % 50 = 0"), 10, ANN_PROBES)
+    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _EDGES = """e AS (SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst
