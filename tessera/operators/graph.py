@@ -6,15 +6,17 @@ plans stay small and a lost executor costs no earlier step.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
+from itertools import count, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.scratch import materialize
 
-#: Steps after which a recursion ends.
+#: Steps after which a recursive query ends; nothing else does.
 MAX_STEPS = 1000
 
 
@@ -26,17 +28,19 @@ def _unseen(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def recursive_frontier(
-    base: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: list[str] | None = None, max_steps: int = MAX_STEPS
+    base: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: list[str] | None = None, max_steps: int | None = MAX_STEPS
 ) -> DataFrame:
     """base UNION step(frontier) UNION step(...) with rows deduplicated against all seen.
 
     ``step`` gets the last new rows and the depth of what it makes (the base has depth 1).
-    ``keys`` are the columns that make a row new, all by default, so cycles end.
+    ``keys`` are the columns that make a row new, all by default, so cycles end.  Without
+    ``max_steps`` it runs until nothing is new; the default is that of recursive queries,
+    and reaching it warns.
     """
     keys = keys or base.columns
     frontier = materialize(base.dropDuplicates(keys), "frontier")
     parts = [frontier]
-    for depth in range(2, max_steps + 2):
+    for depth in islice(count(2), max_steps):
         seen = reduce(DataFrame.unionByName, parts)
         frontier = materialize(_unseen(step(frontier, depth).select(*base.columns).dropDuplicates(keys), seen, keys), "frontier")
         if frontier.isEmpty():
@@ -44,6 +48,9 @@ def recursive_frontier(
         parts.append(frontier)
         if len(parts) >= 32:
             parts = [materialize(reduce(DataFrame.unionByName, parts), "seen")]
+    else:
+        if max_steps == MAX_STEPS:
+            warnings.warn(f"the recursion was ended after {MAX_STEPS} steps", RuntimeWarning, stacklevel=2)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -52,8 +59,8 @@ def edges_of(df: DataFrame, src: str, dst: str) -> DataFrame:
     return df.select(F.col(src).cast("bigint").alias("src"), F.col(dst).cast("bigint").alias("dst")).dropna()
 
 
-def k_hop(edges: DataFrame, starts: DataFrame, hops: int = MAX_STEPS) -> DataFrame:
-    """starts (node) -> (node, depth): nodes within some hops, with the least number of them."""
+def k_hop(edges: DataFrame, starts: DataFrame, hops: int | None = None) -> DataFrame:
+    """starts (node) -> (node, depth): nodes within some hops, or any number, with the least number of them."""
     base = starts.select(F.col("node").cast("bigint").alias("node"), F.lit(0).alias("depth"))
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:
@@ -62,16 +69,16 @@ def k_hop(edges: DataFrame, starts: DataFrame, hops: int = MAX_STEPS) -> DataFra
     return recursive_frontier(base, step, ["node"], hops)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_STEPS) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """pairs (source, target) -> (source, target, hops): directed and unweighted; 0 for itself, NULL if unreachable.
 
-    All sources advance together; a source stops when its targets are found.
+    Without ``max_hops`` the search ends only when nothing new is reached.  All sources advance together; a source stops when its targets are found.
     """
     pairs = materialize(pairs.select(F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target")).distinct(), "pairs")
     edges = materialize(edges.distinct(), "edges")
     frontier = materialize(pairs.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")).distinct(), "frontier")
     reached, found, open_pairs = [frontier], [], pairs
-    for hops in range(0, max_hops + 1):
+    for hops in islice(count(), None if max_hops is None else max_hops + 1):
         hit = open_pairs.join(frontier.select("source", F.col("node").alias("target"), "hops"), ["source", "target"])
         found.append(hit)
         open_pairs = materialize(open_pairs.join(frontier.select("source", F.col("node").alias("target")), ["source", "target"], "left_anti"), "open-pairs")

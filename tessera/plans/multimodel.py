@@ -233,6 +233,21 @@ def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "target", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
+@query(
+    "graph_shortest_path_orders",
+    f"""WITH RECURSIVE {_EDGES}, c AS (SELECT o_custkey, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders WHERE o_custkey < 20 GROUP BY o_custkey),
+        p AS (SELECT a AS source, b AS target FROM c UNION SELECT b, a FROM c),
+        r AS (SELECT DISTINCT source, source AS node, 0 AS hops FROM p UNION ALL SELECT source, dst, hops + 1 FROM r JOIN e ON node = src)
+        SELECT p.source, p.target, coalesce(min(hops), -1) AS hops FROM p LEFT JOIN r ON p.source = r.source AND p.target = r.node GROUP BY ALL""",
+)
+def graph_shortest_path_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the least and the greatest order of some customers, both ways."""
+    c = table(spark, sf_dir, "orders").where("o_custkey < 20").groupBy("o_custkey").agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    pairs = c.select(F.col("a").alias("source"), F.col("b").alias("target")).union(c.select("b", "a"))
+    found = graph.shortest_paths(order_edges(spark, sf_dir), pairs)
+    return found.select("source", "target", F.coalesce("hops", F.lit(-1)).alias("hops"))
+
+
 @query("graph_unreachable", "SELECT * FROM (VALUES (4::BIGINT, 1::BIGINT, true), (1::BIGINT, 4::BIGINT, false)) t(source, target, unreachable)")
 def graph_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src bigint, dst bigint")
