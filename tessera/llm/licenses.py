@@ -1,6 +1,7 @@
 """License scans by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line of the text.  Its features are the distinct word 1- and 2-grams
+A paragraph is a line of the text; notices wrapped over lines without an empty one
+between them are found in the lines joined.  A paragraph's features are the distinct word 1- and 2-grams
 that have a content word of the model; a multinomial logistic regression over them says
 which license family it grants, or none.  The regression is trained on the driver, in
 plain Python, from the notices below and from sentences that only sound alike (the
@@ -234,31 +235,76 @@ def _notice_share(family: Column, grams: Column) -> Column:
     return F.greatest(*each)
 
 
+def _held(grams: Column) -> Column:
+    """The largest share of any notice's features that the grams have."""
+    return F.greatest(*[_notice_share(F.lit(k), grams) for k in NOTICES])
+
+
+def _scores(each: DataFrame, keys: list[str], model: Classifier) -> DataFrame:
+    """(keys, grams, family, chance, share) of the rows (keys, grams) that have a family."""
+    spelled = F.lit(json.dumps([{"gram": f, "weights": w} for f, w in model.weights.items()]))
+    table = each.sparkSession.range(1).select(F.inline(F.from_json(spelled, "array<struct<gram:string,weights:array<double>>>")))
+    hits = each.withColumn("gram", F.explode("grams")).join(F.broadcast(table), "gram")
+    k = len(model.classes)
+    sums = hits.groupBy(*keys).agg(*[F.sum(F.round(F.col("weights")[i] * 1e9).cast("bigint")).alias(f"s{i}") for i in range(k)], F.first("grams").alias("grams"))
+    scores = F.array(*[(F.col(f"s{i}") / 1e9 + F.lit(model.bias[i])) / F.lit(model.heat) for i in range(k)])
+    scored = sums.select(*keys, "grams", scores.alias("scores")).withColumn("top", F.array_max("scores"))
+    chance = F.lit(1.0) / F.aggregate(F.transform("scores", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
+    family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position("scores", F.col("top")).cast("int"))
+    found = scored.select(*keys, "grams", family.alias("family"), chance.alias("chance")).where((F.col("family") != UNKNOWN) & (F.col("chance") >= LEAST_CHANCE))
+    return found.withColumn("share", _notice_share(F.col("family"), F.col("grams")))
+
+
+def wrapped_notices(stretches: DataFrame, model: Classifier) -> DataFrame:
+    """(__row, part, lines) -> (__row, part, family, chance): families confirmed by several lines joined, by none of them alone.
+
+    lines: the words of the lines of a stretch, none without words.  A notice lies in a
+    window of lines of which all but the first and last belong to it, so those have no
+    more words than the longest notice.
+    """
+    features = F.array(*[F.lit(f) for f in sorted(model.weights)])
+    most = max(len(words_of(t)) for texts in NOTICES.values() for t in texts)
+    # No window of a stretch has features that the stretch lacks.
+    own = F.array_intersect(_grams(F.flatten("lines")), features)
+    rich = materialize(stretches.where(_held(own) >= LEAST_SHARE), "license-stretches")
+    n = F.size("lines")
+    first = rich.select("*", F.explode(F.sequence(F.lit(1), n - 1)).alias("a"))
+    windows = first.select("*", F.explode(F.sequence(F.col("a") + 1, F.least(n, F.col("a") + most + 1))).alias("b"))
+    windows = windows.select("__row", "part", "a", "b", F.slice("lines", F.col("a"), F.col("b") - F.col("a") + 1).alias("lines"))
+    inner = F.aggregate(F.slice("lines", 2, F.size("lines") - 2), F.lit(0), lambda s, x: s + F.size(x))
+    windows = windows.where(inner <= most).withColumn("grams", F.array_intersect(_grams(F.flatten("lines")), features)).where(_held(F.col("grams")) >= LEAST_SHARE)
+    windows = materialize(windows, "license-windows")
+    keys = ["__row", "part", "a", "b"]
+    sure = _scores(windows.select(*keys, "grams"), keys, model).where(F.col("share") >= LEAST_SHARE)
+    joined = sure.select(*keys, "family", "chance").join(windows.select(*keys, "lines"), keys)
+    alone = F.exists("lines", lambda x: _notice_share(F.col("family"), _grams(x)) >= LEAST_SHARE)
+    return joined.where(~alone).groupBy("__row", "part", "family").agg(F.max("chance").alias("chance"))
+
+
 def license_lines(docs: DataFrame, model: Classifier | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``__row`` and n_paragraphs; (__row, line, family, chance, share, confirmed) of lines with a family)."""
+    """(documents with ``__row`` and n_paragraphs; (__row, line, family, chance, share, confirmed) of lines with a family).
+
+    A family that only joined lines confirm is a row with line -1 and without a share.
+    """
     model = model or classifier()
-    spark = docs.sparkSession
     content = sorted({w for f in model.weights for w in f.split(" ") if w not in STOP})
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     lines = F.transform(F.split(text, "\n", -1), lambda p, i: F.struct(i.alias("line"), F.regexp_extract_all(p, F.lit(WORD), F.lit(0)).alias("words")))
+    stretches = F.filter(F.split(text, r"\n(?:[^a-z0-9\n]*\n)+"), lambda p: F.instr(p, "\n") > 0)
+    spelled = F.transform(stretches, lambda p: F.transform(F.split(p, "\n", -1), lambda q: F.regexp_extract_all(q, F.lit(WORD), F.lit(0))))
+    spelled = F.transform(spelled, lambda p: F.filter(p, lambda q: F.size(q) > 0))
     # Lines without a content word have no feature of the model.
+    parts = F.filter(spelled, lambda p: (F.size(p) > 1) & F.exists(p, lambda q: F.arrays_overlap(q, F.array(*[F.lit(w) for w in content]))))
     some = F.filter("lines", lambda x: F.arrays_overlap(x["words"], F.array(*[F.lit(w) for w in content])))
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("bigint").alias("doc_id"), lines.alias("lines"))
-    rows = rows.select("__row", "doc_id", F.size(F.filter("lines", lambda x: F.size(x["words"]) > 0)).cast("bigint").alias("n_paragraphs"), some.alias("lines"))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", lines.alias("lines"))
+    rows = rows.select("__row", "doc_id", F.size(F.filter("lines", lambda x: F.size(x["words"]) > 0)).cast("bigint").alias("n_paragraphs"), some.alias("lines"), parts.alias("parts"))
     rows = materialize(rows, "license-lines")
     each = rows.select("__row", F.explode("lines").alias("x")).select("__row", "x.line", _grams(F.col("x.words")).alias("grams"))
-    spelled = F.lit(json.dumps([{"gram": f, "weights": w} for f, w in model.weights.items()]))
-    table = spark.range(1).select(F.inline(F.from_json(spelled, "array<struct<gram:string,weights:array<double>>>")))
-    hits = each.withColumn("gram", F.explode("grams")).join(F.broadcast(table), "gram")
-    k = len(model.classes)
-    sums = hits.groupBy("__row", "line").agg(*[F.sum(F.round(F.col("weights")[i] * 1e9).cast("bigint")).alias(f"s{i}") for i in range(k)], F.first("grams").alias("grams"))
-    scores = F.array(*[(F.col(f"s{i}") / 1e9 + F.lit(model.bias[i])) / F.lit(model.heat) for i in range(k)])
-    scored = sums.select("__row", "line", "grams", scores.alias("scores")).withColumn("top", F.array_max("scores"))
-    chance = F.lit(1.0) / F.aggregate(F.transform("scores", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
-    family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position("scores", F.col("top")).cast("int"))
-    found = scored.select("__row", "line", "grams", family.alias("family"), chance.alias("chance")).where((F.col("family") != UNKNOWN) & (F.col("chance") >= LEAST_CHANCE))
-    found = found.withColumn("share", _notice_share(F.col("family"), F.col("grams")))
-    return rows, found.select("__row", "line", "family", "chance", "share", (F.col("share") >= LEAST_SHARE).alias("confirmed"))
+    found = _scores(each, ["__row", "line"], model)
+    parts = rows.select("__row", F.posexplode("parts").alias("part", "lines"))
+    joined = wrapped_notices(parts, model).select("__row", F.lit(-1).alias("line"), "family", "chance", F.lit(None).cast("double").alias("share"), F.lit(True).alias("confirmed"))
+    alone = found.select("__row", "line", "family", "chance", "share", (F.col("share") >= LEAST_SHARE).alias("confirmed"))
+    return rows.drop("parts"), alone.unionByName(joined)
 
 
 def license_report(docs: DataFrame) -> DataFrame:
@@ -266,6 +312,8 @@ def license_report(docs: DataFrame) -> DataFrame:
 
     families: the confirmed families, sorted and comma-joined; chance: the highest
     probability among them, 0 if there is none.  A null or empty text has no paragraphs.
+    A notice wrapped over lines counts once a stretch between empty lines and family, as
+    predicted and confirmed; n_paragraphs counts lines.
     Repeated rows are returned as often as they come; a null doc_id is kept; other
     columns are ignored.
     """
