@@ -12,25 +12,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
+_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate tables of this application; it goes when the driver's JVM ends.
+
+    Without ``spark.checkpoint.dir`` a local folder serves a local session; a cluster,
+    whose executors could not read it, is refused.
+    """
     app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _FALLBACK.setdefault(app, tempfile.mkdtemp(prefix="tessera-"))
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _ROOTS.get(app) or tempfile.mkdtemp(prefix="tessera-")
+    if app not in _ROOTS:
+        _ROOTS[app] = base
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tessera-{app}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return f"{base.rstrip('/')}/tessera-{app}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", release: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result has no lineage: a lost executor costs a re-read, never a
-    recomputation, and a plan that uses it twice computes it once.
+    recomputation, and a plan that uses it twice computes it once.  With ``release`` the
+    driver's garbage is collected, whereupon Spark removes the shuffle files of the write;
+    else they stay until that happens by itself.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
