@@ -8,20 +8,16 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import decontaminate, nbest, secrets, simhash_dedup
+from tessera.llm import decontaminate, nbest, secrets
 from tessera.llm.pieces import Vocabulary
-from tests.llm.test_simhash import least_of
+from tests.llm.test_similar import plain_keepers
 
 
 def plain(rows, items):
     """doc_id -> digest of the best ids, by plain means."""
     rows = [(i, t) for i, t in rows if t and re.search(r"[^\W\d_]", t)]
-    least = least_of({simhash_dedup.simhash(t) for _, t in rows})
-    first = {}
-    for i, t in rows:
-        root = least[simhash_dedup.simhash(t)]
-        first[root] = min(i, first.get(root, i))
-    rows = [(i, t) for i, t in rows if i in set(first.values())]
+    kept = plain_keepers(rows)
+    rows = [(i, t) for i, t in rows if i in kept]
     windows = set()
     for _, text in items:
         words = decontaminate.folded_words(text)

@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 from tessera.llm import nbest
+from tessera.llm import similar
 from tessera.llm import simhash_dedup as sd
 from tessera.session import table
 
@@ -53,6 +54,38 @@ def test_stage_keeps_one_of_similar_texts(spark, sf_dir):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_large_group_is_linked_exactly(spark, monkeypatch):
+    """Copies with few and many edits of one text that is missing, in dealt buckets and small blocks."""
+    monkeypatch.setattr(similar, "HOT", 1 << 20)
+    monkeypatch.setattr(similar, "SALTS", 3)
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(260):
+        text = list(base)
+        for at in rng.sample(range(len(base)), rng.randrange(1, 7)):
+            text[at] = f"x{rng.randrange(6)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, rows[i][1]) for i in range(20)] + [(2000 + i, " ".join(rng.choices(base, k=60))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = [r.doc_id for r in sd.drop_near_duplicates(docs, k=5, similarity=0.8).collect()]
+    want = plain_keepers(rows)
+    assert 20 < len(want) < len(rows) - 40
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_buckets_over_many_batches(spark):
+    """A bucket that is longer than a batch keeps its leader."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i, "a b c d e f g h i j k l m n o p " * (1 + i // 40)) for i in range(80)] + [(100 + i, f"only {i} has this text") for i in range(9)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        assert {r.doc_id for r in sd.drop_near_duplicates(docs, k=5, similarity=0.8).collect()} == plain_keepers(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_nothing_is_similar_in_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert sd.drop_near_duplicates(docs, k=5, similarity=0.8).count() == 0
