@@ -3,10 +3,16 @@
 Every rule's pattern is parsed, and a Boolean query over trigrams is derived that each
 of its matches must satisfy: an AND over stretches of the pattern, each an OR over the
 strings that it can be, each an AND over their trigrams.  Case is folded on both sides.
-The index posts each document under the trigrams that some rule asks for.  Postings of
-a document are intersected where they meet, rules whose query holds become candidates,
-and candidates are verified with the pattern itself.  A rule without a mandatory
-trigram is matched against every document.
+A document is posted under the trigrams that some rule asks for.  Rules whose query its
+postings satisfy become candidates, and candidates are verified with the pattern itself.
+A rule without a mandatory trigram is matched against every document.
+
+A scan of all documents keeps a document's postings in its row, where its text is, so
+one pass posts, intersects and verifies, and no text is exchanged.  ``trigram_index``
+inverts the postings into a table, and ``candidates`` intersects its lists: which
+documents a rule that comes later may match, without their texts.
+
+Whatever is done to a text is linear in its length and in the number of matches.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from __future__ import annotations
 import re
 import re._constants as op
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -21,7 +28,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.scratch import materialize
+from tessera.llm.names import fresh, own
 
 
 @dataclass(frozen=True)
@@ -45,12 +52,15 @@ ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # With its headers, body and end, as far as they are there.
+    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:\r?\n[A-Za-z-]{1,20}: [^\r\n]*){0,4}[A-Za-z0-9+/=\r\n]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
 )
 RULES = BASE + ADDED
 
+#: Values of a chunk in a running sum.
+CHUNK = 256
 #: Strings that a stretch of a pattern may be, and characters of a class that is spelled out, at most.
 _STRINGS, _CLASS = 64, 8
 
@@ -155,76 +165,83 @@ def holds(query: Query, posted: Column) -> Column:
     return reduce(Column.__and__ if query[0] == "and" else Column.__or__, [holds(p, posted) for p in query[1]])
 
 
-def _key(text: Column) -> list[Column]:
-    """Rows with the same id and text have the same secrets, and one key."""
-    return [F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__hash")]
+def posted(text: Column, trigrams: set[str]) -> Column:
+    """The trigrams among some that a text contains, in either case."""
+    lowered = F.lower(text)
+    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in sorted(trigrams)]))
 
 
 def trigram_index(docs: DataFrame, trigrams: set[str]) -> DataFrame:
-    """Postings (trigram, __id, __hash) of the documents that contain them, in either case."""
-    lowered = docs.select(*_key(F.col("text")), F.lower("text").alias("lowered"))
-    there = F.array_compact(F.array(*[F.when(F.contains("lowered", F.lit(t)), F.lit(t)) for t in sorted(trigrams)]))
-    return lowered.select(F.explode(there).alias("trigram"), "__id", "__hash")
+    """Postings (trigram, doc_id, hash) of the documents that contain them; rows of the same id and text have one."""
+    key = [F.col("doc_id"), F.xxhash64("text").alias("hash")]
+    return docs.select(F.explode(posted(F.col("text"), trigrams)).alias("trigram"), *key).distinct()
 
 
 def candidates(postings: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """(__id, __hash, rules): the rules whose query holds, for documents that have some."""
-    met = postings.groupBy("__id", "__hash").agg(F.collect_set("trigram").alias("posted"))
+    """(doc_id, hash, rules): the rules whose query the postings satisfy, for documents that have some."""
+    met = postings.groupBy("doc_id", "hash").agg(F.collect_set("trigram").alias("posted"))
     rules = F.array_compact(F.array(*[F.when(holds(q, F.col("posted")), F.lit(k)) for k, q in queries.items()]))
-    return met.select("__id", "__hash", rules.alias("rules")).where(F.size("rules") > 0)
+    return met.select("doc_id", "hash", rules.alias("rules")).where(F.size("rules") > 0)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Of whole numbers, what each and all before it join to, from 0; chunk by chunk, as appending copies an array."""
+
+    def scan(some: Column, base: Column) -> Column:
+        start = F.struct(base.alias("last"), F.array().cast("array<int>").alias("all"))
+        step = lambda s, x: F.struct(join(s["last"], x).alias("last"), F.concat(s["all"], F.array(join(s["last"], x))).alias("all"))
+        return F.aggregate(some, start, step, lambda s: s["all"])
 
+    def over(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda c: F.slice(all_, c * CHUNK + 1, CHUNK))
+        totals = lambda chunks: F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), join))
+        bases = lambda chunks: F.concat(F.array(F.lit(0)), F.slice(scan(totals(chunks), F.lit(0)), 1, F.size(chunks) - 1))
+        return F.transform(F.array(cut), lambda chunks: F.flatten(F.zip_with(chunks, bases(chunks), scan)))[0]
 
-def _starts(gaps: Column, matches: Column) -> Column:
-    """Where each match begins, in code points, given the lengths of what stands before, between and after them."""
-    before = F.zip_with(gaps, F.concat(F.array(F.lit(0)), matches), lambda gap, match: gap + match)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(before, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"] + x)).alias("all")), lambda s: s["all"])
+    return F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, over(v)).otherwise(F.array().cast("array<int>")))[0]
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Leftmost matches that are long enough, as (a, order, b, kind); offsets in code points, b exclusive."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    sizes = F.transform(found, lambda m: F.char_length(m))
-    starts = _starts(F.transform(F.split(text, rule.pattern, -1), lambda g: F.char_length(g)), sizes)
-    weighed = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.char_length(g)) if rule.group else sizes
-    every = F.transform(
-        F.arrays_zip(starts.alias("a"), sizes.alias("n"), weighed.alias("w")),
-        lambda x: F.when(x["w"] >= rule.least, F.struct(x["a"].alias("a"), F.lit(order).alias("o"), (x["a"] + x["n"]).alias("b"), F.lit(rule.kind).alias("kind"))),
-    )
-    return F.filter(every, lambda x: x.isNotNull())
+    pattern = _guard(rule)
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.char_length(m))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
+    weighed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), lambda g: F.char_length(g)) if rule.group else sizes
+    each = F.arrays_zip(F.slice(gaps, 1, F.size(sizes)).alias("g"), sizes.alias("n"), weighed.alias("w"))
+
+    def placed(found: Column) -> Column:
+        ends = _running(F.transform(found, lambda x: x["g"] + x["n"]), lambda a, b: a + b)
+        return F.zip_with(
+            found,
+            ends,
+            lambda x, b: F.when(x["w"] >= rule.least, F.struct((b - x["n"]).alias("a"), F.lit(order).alias("o"), b.alias("b"), F.lit(rule.kind).alias("kind"))),
+        )
+
+    return F.array_compact(F.transform(F.array(each), placed)[0])
 
 
 _SPANS = "array<struct<a:int,o:int,b:int,kind:string>>"
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with ``__spans``, the secrets in order of their start, then of the rules.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "spans") -> DataFrame:
+    """The documents with a column ``name``: the secrets in order of their start, then of the rules.
 
-    All columns and rows stay, repeated ones too.  A null text is searched as an empty
-    one and stays null.  A null doc_id is a key like any other.  An empty table gives an
-    empty one.
+    All columns and rows stay, repeated ones too; ``name`` must not be among them.  A null
+    text is searched as an empty one and stays null.  A null doc_id is kept.  An empty
+    table gives an empty one.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    asked = {k: q for k, q in queries.items() if q is not None}
-    text = F.coalesce(F.col("text"), F.lit(""))
-    postings = materialize(trigram_index(docs, set().union(*map(trigrams_of, asked.values()))), "trigram-index")
-    wanted = materialize(candidates(postings, asked), "candidates")
-    named = wanted.select(F.col("__id").alias("__cid"), F.col("__hash").alias("__chash"), "rules")
-    joined = docs.withColumn("__hash", F.xxhash64("text")).join(
-        named, F.col("doc_id").eqNullSafe(F.col("__cid")) & (F.col("__hash") == F.col("__chash")), "left"
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    postings = fresh([*docs.columns, name], "postings")
+    rows = docs.withColumn(postings, posted(text, set().union(*map(trigrams_of, queries.values()))))
     none = F.array().cast(_SPANS)
     # A quick test guards each extraction: a pattern that isn't there is not split by.
-    found = [
-        F.when((F.lit(True) if queries[r.kind] is None else F.array_contains("rules", r.kind)) & text.rlike(_guard(r)), spans(text, r, k)).otherwise(none)
-        for k, r in enumerate(rules)
-    ]
-    return joined.select(*docs.columns, F.array_sort(F.concat(*found)).cast(_SPANS).alias("__spans"))
+    found = [F.when(holds(queries[r.kind], F.col(postings)) & text.rlike(_guard(r)), spans(text, r, k)).otherwise(none) for k, r in enumerate(rules)]
+    return rows.select(*own(docs), F.array_sort(F.concat(*found)).cast(_SPANS).alias(name))
 
 
 def _guard(rule: Rule) -> str:
-    """A pattern that any match long enough satisfies."""
+    """The pattern; where its whole match is weighed, with the least length of it."""
     return re_least(rule.pattern, rule.least) if rule.group == 0 else rule.pattern
 
 
@@ -242,27 +259,36 @@ def listed(found: Column) -> Column:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans): a row per document."""
-    found = find_secrets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    kinds = F.transform("__spans", lambda x: x["kind"])
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans): a row per document; nulls and repeats as in ``find_secrets``."""
+    found = find_secrets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), name="found")
+    kinds = F.transform("found", lambda x: x["kind"])
     count = [(F.size(kinds) - F.size(F.array_remove(kinds, r.kind))).cast("bigint").alias(f"n_{r.kind}") for r in BASE]
-    base = F.filter("__spans", lambda x: x["o"] < len(BASE))
-    return found.select("doc_id", *count, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"))
+    base = F.filter("found", lambda x: x["o"] < len(BASE))
+    return found.select("doc_id", *count, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with each run of secrets replaced by a mark, and ``n_chars``, if there, counted anew."""
-    found = find_secrets(docs)
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The documents with each secret replaced by a mark, those that overlap by one; ``n_chars``, if there, counts anew.
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(x["a"] >= s["at"], F.concat(F.substring(F.col("text"), s["at"] + 1, x["a"] - s["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(s["at"], x["b"]).alias("at"), F.concat(s["out"], gap).alias("out"))
-
-    rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text")))
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", none, step, rest)).otherwise(F.col("text"))
-    out = found.withColumn("text", clean)
+    All rows and columns stay, whatever their names; a null text stays null, and a text
+    without secrets stays as it is.  Repeated rows are treated alike, an empty table
+    gives an empty one.
+    """
+    name = fresh(docs.columns, "spans")
+    found = find_secrets(docs, name=name)
+    text, some = F.col("text").cast("string"), F.col(name)
+
+    def clean(chars: Column) -> Column:
+        done = _running(F.transform(some, lambda x: x["b"]), lambda a, b: F.greatest(a, b))
+        befores = F.concat(F.array(F.lit(0)), done)
+        piece = lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
+        pieces = F.zip_with(some, F.slice(befores, 1, F.size(some)), lambda x, at: F.when(x["a"] >= at, F.concat(piece(at, x["a"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), piece(F.array_max(done), F.size(chars)))
+
+    # Characters as an array: a substring of a text would count from its start each time.
+    kept = F.when(F.size(some) > 0, F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), clean)[0]).otherwise(text)
+    out = found.withColumn("text", kept)
     if "n_chars" in docs.columns:
-        counted = F.when(F.size("__spans") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        counted = F.when(F.size(some) > 0, F.char_length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*own(docs))
