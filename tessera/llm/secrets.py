@@ -165,16 +165,15 @@ def holds(query: Query, posted: Column) -> Column:
     return reduce(Column.__and__ if query[0] == "and" else Column.__or__, [holds(p, posted) for p in query[1]])
 
 
-def posted(text: Column, trigrams: set[str]) -> Column:
-    """The trigrams among some that a text contains, in either case."""
-    lowered = F.lower(text)
+def posted(lowered: Column, trigrams: set[str]) -> Column:
+    """The trigrams among some that a lower-cased text contains."""
     return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in sorted(trigrams)]))
 
 
 def trigram_index(docs: DataFrame, trigrams: set[str]) -> DataFrame:
     """Postings (trigram, doc_id, hash) of the documents that contain them; rows of the same id and text have one."""
-    key = [F.col("doc_id"), F.xxhash64("text").alias("hash")]
-    return docs.select(F.explode(posted(F.col("text"), trigrams)).alias("trigram"), *key).distinct()
+    lowered = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.lower("text").alias("lowered"))
+    return lowered.select(F.explode(posted(F.col("lowered"), trigrams)).alias("trigram"), "doc_id", "hash").distinct()
 
 
 def candidates(postings: DataFrame, queries: dict[str, Query]) -> DataFrame:
@@ -232,8 +231,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    postings = fresh([*docs.columns, name], "postings")
-    rows = docs.withColumn(postings, posted(text, set().union(*map(trigrams_of, queries.values()))))
+    lowered, postings = fresh(docs.columns, "lowered"), fresh([*docs.columns, name], "postings")
+    # Each in a projection of its own: what is used by many expressions is computed once.
+    rows = docs.withColumn(lowered, F.lower(text))
+    rows = rows.withColumn(postings, posted(F.col(lowered), set().union(*map(trigrams_of, queries.values())))).drop(lowered)
     none = F.array().cast(_SPANS)
     # A quick test guards each extraction: a pattern that isn't there is not split by.
     found = [F.when(holds(queries[r.kind], F.col(postings)) & text.rlike(_guard(r)), spans(text, r, k)).otherwise(none) for k, r in enumerate(rules)]
