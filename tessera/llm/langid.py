@@ -21,17 +21,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh, own
 from tessera.llm.pieces import BLANK, MODEL_PATH, Vocabulary, trie_of
 from tessera.scratch import materialize
 
 UNDETERMINED = "und"
-#: Labelled rows to learn from, for each language, about; languages, the most frequent first.
-SAMPLE_ROWS, LANGUAGES = 150, 200
+#: Labelled rows to learn from, for each language, about.
+SAMPLE_ROWS = 150
 EM_STEPS, SMOOTHING = 2, 0.05
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7
-#: Words that a worker remembers; letters up to which words are summed in groups without logarithms.
+#: Words that a worker remembers; letters up to which words are summed in groups without scaling.
 REMEMBERED, SHORT = 400_000, 40
+#: Words of all languages that are summed at once.
+AT_ONCE = 16_384
+#: Positions after which a longer word's sums are scaled anew.
+SCALED = 16
 
 #: Bits of an edge's length and piece.
 _LENGTH, _PIECE = 10, 24
@@ -82,17 +87,21 @@ class Model:
         self.lattice = PieceLattice(pieces)
 
     def _long(self, word: str) -> np.ndarray:
-        """As word_scores, for one word of any length, in logarithms."""
-        logs, n = np.log(self.chances), len(word) + 1
+        """As word_scores, for one word of any length: sums are scaled every few positions, each language by itself."""
+        n, longest, chances = len(word) + 1, self.lattice.longest, self.chances
         ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for edge in self.lattice.edges(word):
             begin, length = divmod(edge >> _PIECE, 1 << _LENGTH)
             ending[begin + length].append((begin, edge & (1 << _PIECE) - 1))
-        alpha = np.zeros((n + 1, len(self.languages)))
+        alpha, scale = np.zeros((n + 1, len(self.languages))), np.zeros(len(self.languages))
+        alpha[0] = 1.0
         for end in range(1, n + 1):
             begins, pieces = zip(*ending[end])
-            alpha[end] = np.logaddexp.reduce(alpha[list(begins)] + logs[list(pieces)], axis=0)
-        return alpha[n]
+            alpha[end] = (alpha[list(begins)] * chances[list(pieces)]).sum(axis=0)
+            if end % SCALED == 0:
+                scale += np.log(alpha[end])
+                alpha[max(0, end - longest) : end + 1] /= alpha[end].copy()
+        return np.log(alpha[n]) + scale
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Logarithms of the words' probabilities (words, languages)."""
@@ -151,25 +160,28 @@ def fit(docs: DataFrame, learns: Column, path: str = MODEL_PATH, rows: int = SAM
     """Piece probabilities from about ``rows`` labelled rows of each language where ``learns`` holds.
 
     The sample is taken by a hash of the text, so it doesn't depend on the partitions and
-    copies count once.
+    copies count once.  Every lang value found is learned.  Longer words are learned in
+    stretches of ``SHORT`` letters, whole otherwise.
     """
     known = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], [], np.zeros((1, 0)))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["n"])))])
-    picked = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).distinct()
+    # A row per lang value, which are few beside the documents.
+    share = known.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["n"])) for r in sizes], "lang string, share double")
+    picked = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text").distinct()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = [w for w in letter_runs(text) if len(w) <= SHORT]
+                found = [w[a : a + SHORT] for w in letter_runs(text) for a in range(0, len(w), SHORT)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], ["lang", "word"])
 
     counted = picked.mapInArrow(words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
     numbers: dict[str, int] = {}
-    cells = [(numbers.setdefault(r["word"], len(numbers)), languages.index(r["lang"]), r["n"]) for r in counted.collect()]
+    at_language = {x: i for i, x in enumerate(languages)}
+    cells = [(numbers.setdefault(r["word"], len(numbers)), at_language[r["lang"]], r["n"]) for r in counted.collect()]
     weights = np.zeros((max(1, len(numbers)), len(languages)))
     for at, lang, n in cells:
         weights[at, lang] = n
@@ -179,7 +191,8 @@ def fit(docs: DataFrame, learns: Column, path: str = MODEL_PATH, rows: int = SAM
     todo = list(numbers) or [""]
     edges, lengths = [model.lattice.edges(w) for w in todo], [len(w) + 1 for w in todo]
     for _ in range(EM_STEPS):
-        counts = sum(expected_counts(edges[a : a + 4096], lengths[a : a + 4096], weights[a : a + 4096], model.chances) for a in range(0, len(todo), 4096))
+        step = max(1, AT_ONCE // len(languages))
+        counts = sum(expected_counts(edges[a : a + step], lengths[a : a + step], weights[a : a + step], model.chances) for a in range(0, len(todo), step))
         counts = counts[:-1] + SMOOTHING
         model.chances[:-1] = counts / counts.sum(axis=0)
     return model
@@ -201,8 +214,9 @@ class Scorer:
             more = np.zeros((2 * (first + len(new)), self.scores.shape[1]))
             more[:first] = self.scores[:first]
             self.scores = more
-        for a in range(0, len(new), 4096):
-            self.scores[first + a : first + a + len(new[a : a + 4096])] = self.model.word_scores(new[a : a + 4096])
+        step = max(1, AT_ONCE // len(self.model.languages))
+        for a in range(0, len(new), step):
+            self.scores[first + a : first + a + len(new[a : a + step])] = self.model.word_scores(new[a : a + step])
         self.number |= {w: first + i for i, w in enumerate(new)}
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -228,8 +242,8 @@ class Scorer:
 _SCORERS: dict[tuple, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score, and the columns ``keep``): a row per document.
+def identify(docs: DataFrame, model: Model, keep: list[Column], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(the columns ``keep``, and the language and score under ``names``): a row per document.
 
     A null text, and one without letters, is ``und`` with score 0; so is every text if
     nothing was learned.  Repeated rows are returned as often as they come.
@@ -237,9 +251,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
-    keep = keep if keep is not None else ["doc_id"]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text to score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _SCORERS.get(key)
@@ -251,7 +264,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 part = batch.slice(start, 512)
                 langs, scores = zip(*scorer.predict(part.column(part.num_columns - 1).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"]
+                    [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], *names]
                 )
 
     return rows.mapInArrow(run, schema)
@@ -263,12 +276,20 @@ def language_of_documents(docs: DataFrame, modulus: int = 4, left_out: int = 2,
     A row without a doc_id is neither learned from nor held out.
     """
     model = fit(docs, _learns("doc_id", modulus, left_out), path)
-    found = identify(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model)
+    found = identify(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model, [F.col("doc_id")])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == left_out, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, path: str = MODEL_PATH) -> DataFrame:
-    """The documents whose language is found with a posterior of ``least`` or more; all columns stay."""
+    """The documents whose language is found with a posterior of ``least`` or more.
+
+    Texts that are null, empty or without letters go, and all go if no row has a language
+    to learn from.  Repeated rows are judged alike, ties go to the first language in
+    order, a null doc_id doesn't matter, and all columns stay, whatever their names.  An
+    empty table gives an empty one.
+    """
     model = fit(docs, F.lit(True), path)
-    return identify(docs, model, docs.columns).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    found, score = (fresh(docs.columns, x) for x in ("language", "posterior"))
+    judged = identify(docs, model, own(docs), (found, score))
+    return judged.where((F.col(found) != UNDETERMINED) & (F.col(score) >= least)).select(*own(docs))

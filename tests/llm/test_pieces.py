@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -119,3 +121,49 @@ def test_languages(spark, sf_dir):
     assert [rows[10**9 + k].lang_pred for k in range(3)] == ["und"] * 3 and rows[None].held_out is False
     assert {r.doc_id for r in langid.keep_identified(odd).collect() if (r.doc_id or 0) >= 10**9} <= {None, 10**9 + 3}
     assert langid.language_of_documents(docs.limit(0)).count() == 0
+    clash = odd.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(2)).withColumn("language", F.lit("y"))
+    assert sorted(map(str, langid.keep_identified(clash).drop("lang_pred", "score", "language").collect())) == sorted(map(str, langid.keep_identified(odd).collect()))
+    assert {(r.lang_pred, r.score, r.language) for r in langid.keep_identified(clash).collect()} == {("x", 2, "y")}
+
+
+def plain_language(model, text):
+    """(language, posterior) by the definition: a sum over all segmentations of each word, piece by piece."""
+    number, longest = {p: i for i, p in enumerate(model.pieces)}, max(map(len, model.pieces))
+    logs, total = np.log(model.chances), np.zeros(len(model.languages))
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not words:
+        return "und", 0.0
+    for word, n in Counter(words).items():
+        chars = BLANK + word
+        alpha = [np.zeros(len(model.languages))]
+        for end in range(1, len(chars) + 1):
+            parts = [(b, number[chars[b:end]]) for b in range(max(0, end - longest), end) if chars[b:end] in number]
+            if chars[end - 1] not in number:
+                parts.append((end - 1, len(number)))
+            alpha.append(np.logaddexp.reduce([alpha[b] + logs[i] for b, i in parts]))
+        total += n * alpha[-1]
+    best = int(np.argmax(total))
+    return model.languages[best], 1.0 / np.exp(total - total[best]).sum()
+
+
+def test_languages_are_those_of_the_definition(spark, sf_dir):
+    from tessera.session import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(10**9, "the" * 700, None), (10**9 + 1, None, "en"), (10**9 + 2, "Ünd 7 \u0130x", None)], docs.schema))
+    model = langid.fit(docs, langid._learns("doc_id", 4, 2))
+    want = {r.doc_id: plain_language(model, r.text) for r in docs.collect()}
+    got = langid.language_of_documents(docs).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(r.score - want[r.doc_id][1]) < 1e-6 for r in got)
+
+
+def test_every_language_and_long_words_are_learned(spark):
+    rng = random.Random(2)
+    rows = [(f"l{k:03d}", " ".join([f"{chr(97 + k % 26)}{chr(97 + k // 26)}"] * 5)) for k in range(230)]
+    rows += [("zz", "".join(rng.choices("αβγδ", k=300))) for _ in range(5)] + [("yy", "".join(rng.choices("κλμν", k=300))) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.languages) == 232
+    scorer = langid.Scorer(model)
+    assert [x for x, _ in scorer.predict(["α" * 40 + "βγδ" * 9, "λ" * 200])] == ["zz", "yy"]
