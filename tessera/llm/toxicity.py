@@ -42,9 +42,15 @@ ROW, REMEMBERED = 256, 400_000
 _TOKENS = re.compile(r"[^\W\d_]+")
 
 
+def folded(text: str | None) -> str:
+    """The text lower-cased, letter for letter: one whose lower case is longer stays, so offsets are those of the text."""
+    low = (text or "").lower()
+    return low if len(low) == len(text or "") else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text or ""))
+
+
 def tokens(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
-    return _TOKENS.findall((text or "").lower())
+    return _TOKENS.findall(folded(text))
 
 
 def features(word: str) -> list[str]:
@@ -237,8 +243,7 @@ class Scorer:
         spans: list[list[tuple[int, int]]] = []
         for k, text in enumerate(texts):
             hot = np.flatnonzero(marginals[bounds[k] : bounds[k + 1]] >= 0.5).tolist()
-            # Lower-casing may change lengths; offsets are then those of the lower-cased text.
-            places = [m.span() for m in _TOKENS.finditer(text.lower())] if hot else []
+            places = [m.span() for m in _TOKENS.finditer(folded(text))] if hot else []
             spans.append([places[i] for i in hot])
         return scores, spans
 
@@ -289,13 +294,21 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int = 0) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_spans): labels are learned where crc32(doc_id) mod ``modulus`` isn't ``left_out``.
+    """(doc_id, held_out, score, predicted, n_spans, spans): labels are learned where crc32(doc_id) mod ``modulus`` isn't ``left_out``.
 
-    A row without a doc_id is not held out.  Repeated rows are returned as often as they
+    spans: the offending tokens as start:end, comma-joined; code points, end exclusive.
+    A null or empty text has the score of a text without evidence.  A row without a
+    doc_id is not held out.  Repeated rows are returned as often as they
     come; an empty table gives an empty one; other columns are ignored.
     """
     field = fit(docs, labels, F.crc32(F.col("doc_id").cast("string")) % modulus != left_out)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == left_out, F.lit(False))
+    listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["a"].cast("string"), x["b"].cast("string"))), ",")
     return score_documents(docs, field).select(
-        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("bigint").alias("n_spans")
+        "doc_id",
+        held.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        listed.alias("spans"),
     )

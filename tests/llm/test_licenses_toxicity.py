@@ -8,6 +8,7 @@ import re
 import textwrap
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import licenses, toxicity
 
@@ -139,3 +140,39 @@ def test_offsets():
     field = toxicity.learn(texts, [0, 1, 0] * 40)
     scores, spans = toxicity.Scorer(field).score(["Oh GRONK, hello", "a fine day", None])
     assert scores[0] > 0.5 > scores[1] and (3, 8) in spans[0] and spans[1] == [] and spans[2] == []
+    assert toxicity.Scorer(field).score(["\u0130\u0130\u0130 gronk"])[1] == [[(4, 9)]]
+
+
+def plain_score(field, text):
+    """(score, offsets) by the definition: forward and backward over two tags, a token at a time."""
+    found = [(m.span(), m.group()) for m in re.finditer(r"[^\W\d_]+", toxicity.folded(text))]
+    unary = [field.unary(w) for _, w in found]
+    t = np.exp(field.transition)
+    alpha, beta = [], []
+    for i, u in enumerate(unary):
+        step = np.array([1.0, math.exp(max(-30, min(30, u)))])
+        now = step * ([1.0, math.exp(field.start)] if not i else alpha[-1] @ t)
+        alpha.append(now / now.sum())
+    for i in reversed(range(len(unary))):
+        now = np.ones(2) if i == len(unary) - 1 else t @ (beta[-1] * np.array([1.0, math.exp(max(-30, min(30, unary[i + 1])))]))
+        beta.append(now / now.sum())
+    p = [(a * b)[1] / (a * b).sum() for a, b in zip(alpha, reversed(beta))]
+    sure = [x if x >= toxicity.FLOOR else 0.0 for x in p]
+    none, mass = sum(math.log1p(-min(x, 1 - 1e-6)) for x in sure), sum(sure)
+    some = min(max(-math.expm1(none), 1e-6), 1 - 1e-6)
+    n = len(p)
+    x = [1.0, math.log(some) - max(none, -14.0), math.log1p(mass), 10 * math.sqrt(mass / max(n, 1)), math.log1p(n) / 10]
+    return 1 / (1 + math.exp(-float(np.dot(x, field.curve)))), ",".join(f"{a}:{b}" for ((a, b), _), y in zip(found, p) if y >= 0.5)
+
+
+def test_scores_are_those_of_the_definition(spark):
+    from tessera.session import table
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    docs = docs.unionByName(spark.createDataFrame([(10**9, None), (10**9 + 1, ""), (10**9 + 2, "12 !")], docs.schema))
+    field = toxicity.fit(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    want = {r.doc_id: plain_score(field, r.text or "") for r in docs.collect()}
+    got = toxicity.toxicity_report(docs, labels).collect()
+    assert len(got) == len(want) and any(r.spans for r in got)
+    assert all(abs(r.score - want[r.doc_id][0]) < 1e-6 and r.spans == want[r.doc_id][1] and r.n_spans == len([x for x in r.spans.split(",") if x]) for r in got)
