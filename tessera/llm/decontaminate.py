@@ -18,6 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
 from tessera.llm.words import folded_bytes, folded_words
 
 WINDOW = 13
@@ -226,34 +227,49 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, most: int = AUTOMATON_WORDS) -> DataFrame:
     """The documents with benchmark passages removed.
 
     Those whose hits reach one word in ``coverage`` go; others lose the words of their
     spans, and ``n_chars``, if there is such a column, counts the new text.  Documents
-    without hits stay as they are.  All columns are kept.
+    without hits stay as they are, null and empty texts among them.  Repeated rows are
+    treated alike, a null doc_id doesn't matter, and all columns stay, whatever their
+    names.  An empty table gives an empty one, and an empty benchmark changes nothing.
     """
-    automata = _automata(benchmark, window, AUTOMATON_WORDS)
+    automata = _automata(benchmark, window, most)
     schema, at = docs.schema, docs.columns.index("text")
+    hits = fresh(docs.columns, "hits")
+    found = docs
+    for k, automaton in enumerate(automata):
+        first, last = k == 0, k == len(automata) - 1
 
-    def run(batches: Iterator[pa.RecordBatch], automata: list[Broadcast] = automata) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep, changed = batch.column(at).to_pylist(), [], {}
-            for i, text in enumerate(texts):
-                words = folded_words(text)
-                spans = merged([x for a in automata for x in a.value.scan(words)[0]])
-                hit = sum(b - a for a, b in spans)
-                keep.append(not hit or coverage * hit < len(words))
-                if hit and keep[-1]:
-                    changed[i] = without_spans(text, spans)
-            if changed:
-                columns = dict(zip(batch.schema.names, batch.columns))
-                columns["text"] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], batch.column(at).type)
-                if "n_chars" in columns:
-                    old = columns["n_chars"]
-                    lengths = [len(changed[i]) if i in changed else n for i, n in enumerate(old.to_pylist())]
-                    columns["n_chars"] = pa.array(lengths, old.type)
-                batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+        def run(batches: Iterator[pa.RecordBatch], automaton: Broadcast = automaton, first: bool = first, last: bool = last) -> Iterator[pa.RecordBatch]:
+            scan = automaton.value.scan
+            for batch in batches:
+                texts, every = batch.column(at).to_pylist(), []
+                before = None if first else batch.column(batch.num_columns - 1).to_pylist()
+                keep, changed = [], {}
+                for i, text in enumerate(texts):
+                    words = folded_words(text)
+                    spans = scan(words)[0]
+                    if before is not None:
+                        spans = merged([*spans, *((x["a"], x["b"]) for x in before[i])])
+                    every.append([{"a": a, "b": b} for a, b in spans])
+                    n_hit = sum(b - a for a, b in spans)
+                    keep.append(not n_hit or coverage * n_hit < len(words))
+                    if last and n_hit and keep[-1]:
+                        changed[i] = without_spans(text, spans)
+                columns = batch.columns[: len(schema)]
+                if not last:
+                    columns = [*columns, pa.array(every, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]
+                    yield pa.RecordBatch.from_arrays(columns, [*schema.names, hits])
+                    continue
+                if changed:
+                    columns[at] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], columns[at].type)
+                    for c, name in enumerate(schema.names):
+                        if name == "n_chars":
+                            columns[c] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(columns[c].to_pylist())], columns[c].type)
+                yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep, pa.bool_()))
+
+        found = found.mapInArrow(run, schema if last else docs.withColumn(hits, F.lit(None).cast("array<struct<a:int,b:int>>")).schema)
+    return found

@@ -77,3 +77,9 @@ def test_removal(spark):
     assert set(got) == {1, 3, 4}
     assert got[1].text == f"{long}, ! {long}" and got[1].n_chars == len(got[1].text)
     assert got[3].text == long and got[3].n_chars == 7 and got[4].text is None
+    more = spark.createDataFrame([(2, " ".join(f"z{i}" for i in range(50, 63))), (3, "so q0"), (4, None)], bench.schema).unionByName(bench)
+    clash = docs.withColumn("hits", docs.doc_id)
+    whole, split = (sorted(map(str, dc.decontaminate(clash, more, most=most).collect())) for most in (10**6, 10))
+    assert whole == split and len(whole) == 3
+    assert {r.hits for r in dc.decontaminate(clash, more, most=10).collect()} == {1, 3, 4}
+    assert dc.decontaminate(docs, bench.limit(0)).count() == 4 and dc.decontaminate(docs.limit(0), bench).count() == 0
