@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh, own
 from tessera.scratch import materialize
 
 SHARD_BYTES = 1 << 20
@@ -98,9 +99,16 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> DataFrame:
-    """Write the documents as one Parquet folder ``shard=...`` per shard; returns the directory."""
+    """Write the documents as one Parquet folder per shard, named by a new column; returns the directory.
+
+    The column is ``shard``, with underscores in front where the documents have one; its
+    values are ``b`` and the prefix.  All rows and columns stay; nulls and repeats are as
+    in ``shard_documents``, and an empty table writes no shard.
+    """
     rows = sized_rows(docs, F.col("doc_id"), F.octet_length(F.col("text").cast("string")))
     found, directory = assign(rows, limit)
-    joined = rows.join(found, "__row").select(*docs.columns, F.concat(F.lit("b"), F.col("shard")).alias("shard"))
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    name = fresh(docs.columns, "shard")
+    placed = found.select("__row", F.concat(F.lit("b"), F.col("shard")).alias(name))
+    joined = rows.join(placed, "__row").select(*own(docs), name)
+    joined.repartition(name).write.partitionBy(name).parquet(path)
     return directory

@@ -79,11 +79,12 @@ def test_shards(spark, tmp_path):
     one = sharding.shard_documents(docs, 1 << 30).collect()
     assert {(r.shard, r.depth) for r in one} == {("", 0)}
     assert sharding.shard_documents(docs.limit(0)).count() == 0
-    directory = sharding.write_shards(docs.drop("shard"), f"{tmp_path}/out", 500)
+    directory = sharding.write_shards(docs, f"{tmp_path}/out", 500)
     assert directory.agg(F.sum("n_docs")).first()[0] == len(texts)
     back = spark.read.parquet(f"{tmp_path}/out")
-    assert back.count() == len(texts)
-    assert back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("k")).where("n > 500 and k > 1").count() == 0
+    assert back.count() == len(texts) and {r.shard for r in back.collect()} == {"s"}
+    assert {r.doc_id: r._shard for r in back.collect()} == {i: f"b{shard}" for i, (shard, _) in want.items()}
+    assert back.groupBy("_shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("k")).where("n > 500 and k > 1").count() == 0
 
 
 def test_copies_of_one_key_split(spark):
