@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import merge_groups
+from tessera.llm.names import fresh, own
 from tessera.llm.similar import similar_components
 from tessera.scratch import materialize
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-#: Fingerprints of which the router is fitted, at most; all are routed.
-ROUTER_SAMPLE = 16_384
+#: Fingerprints of which the router is fitted, for each shard that is wanted, and in all at least and at most (2 MB); all are routed.
+SHARD_SAMPLE, ROUTER_SAMPLE = 16, (16_384, 262_144)
 #: Fingerprints a shard should hold, and a block that is compared exactly.
 SHARD_ROWS, BLOCK_ROWS = 8_192, 512
 
@@ -165,11 +166,12 @@ def near_groups(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.array([(x, top(x)) for x in above], np.uint64).reshape(-1, 2)
 
 
-def group_fingerprints(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample: int = ROUTER_SAMPLE) -> DataFrame:
+def group_fingerprints(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample: tuple[int, int] = ROUTER_SAMPLE) -> DataFrame:
     """(node, root): shards' components of distinct fingerprints; those that share a node belong together."""
     spark = prints.sparkSession
     n = prints.count()
-    picked = prints.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample).collect()
+    size = min(sample[1], max(sample[0], SHARD_SAMPLE * n // shard_rows))
+    picked = prints.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(size).collect()
     points = np.array([r[0] for r in picked], np.int64).view(np.uint64)
     router = spark.sparkContext.broadcast(build_router(points, max(1, n / shard_rows), radius))
 
@@ -220,25 +222,29 @@ def drop_near_duplicates(
     Near copies are texts with linked fingerprints or, if a similarity is given, texts whose
     ``k``-word shingles have a Jaccard index of that or more, whatever their fingerprints.
     If an id is on several texts of a component, the one of least hash stays; if that text
-    comes several times with the id, the least row by all columns.
+    comes several times with the id, the least row by all columns.  Null and empty texts are
+    one text.  All columns stay, whatever their names; an empty table gives an empty one.
     """
-    node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    named = docs.withColumn("__node", node)
-    texts = named.select(F.col("__node").alias("node"), F.col(text_col).cast("string").alias("text"))
+    name = fresh(docs.columns, "node")
+    named = docs.select(*own(docs), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(name))
+    texts = named.select(F.col(name).alias("node"), F.col(text_col).cast("string").alias("text"))
     if similarity is None:
-        found = near_duplicate_components(texts, "node").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+        groups = near_duplicate_components(texts, "node").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
     else:
-        found = similar_components(texts, k, similarity)
-    linked = materialize(found, "linked")
-    rows = named.groupBy(F.col(id_col).cast("bigint").alias("__id"), "__node").agg(F.count("*").alias("__rows"))
-    owned = rows.join(linked, rows["__node"] == linked.node, "left").withColumn("__root", F.coalesce("root", "__node"))
-    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__node", "__rows")).alias("k")
-    keep = materialize(owned.groupBy("__root").agg(first).select("k.__id", F.col("k.__node").alias("__kept"), "k.__rows"), "keepers")
-    once, more = keep.where("__rows = 1"), keep.where("__rows > 1")
-    same = (F.col("__node") == F.col("__kept")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
+        groups = similar_components(texts, k, similarity)
+    linked = materialize(groups, "linked")
+    rows = named.groupBy(F.col(id_col).cast("bigint").alias("id"), F.col(name).alias("own")).agg(F.count("*").alias("rows"))
+    owned = rows.join(linked, rows["own"] == linked.node, "left").withColumn("top", F.coalesce("root", "own"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own", "rows")).alias("k")
+    kept_id, kept, times = (fresh([*docs.columns, name], x) for x in ("kept_id", "kept", "times"))
+    keep = owned.groupBy("top").agg(first).select(F.col("k.id").alias(kept_id), F.col("k.own").alias(kept), F.col("k.rows").alias(times))
+    keep = materialize(keep, "keepers")
+    once, more = keep.where(F.col(times) == 1), keep.where(F.col(times) > 1)
+    same = (F.col(name) == F.col(kept)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(kept_id))
     # Keepers grow with the documents: never a broadcast, whatever their size happens to be.
-    kept = named.join(once.hint("merge"), same, "left_semi").drop("__node")
+    found = named.join(once.hint("merge"), same, "left_semi").select(*own(docs))
     if more.isEmpty():
-        return kept
-    again = named.join(more.hint("merge"), same, "left_semi").groupBy(id_col, "__node").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return kept.unionByName(again.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+        return found
+    again = named.join(more.hint("merge"), same, "left_semi").groupBy(F.col(id_col).alias("id"), F.col(name).alias("own"))
+    again = again.agg(F.min(F.struct(*own(docs))).alias("row")).select("row.*")
+    return found.unionByName(again)

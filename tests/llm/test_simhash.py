@@ -113,3 +113,5 @@ def test_one_row_of_each_component_stays(spark):
     rows += [(1, e, 1), (7, e, 1), (None, e, 1), (1, e, 1)]  # a keeper elsewhere is a copy here
     got = sd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, x int")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, a, 1), (None, b, 1), (7, c, 1), (7, d, 1), (1, e, 1)], key=str)
+    taken = spark.createDataFrame(rows, "doc_id bigint, text string, node int").selectExpr("*", "1 AS kept", "2 AS kept_id", "3 AS times", "4 AS root")
+    assert sorted(((r.doc_id, r.text, r.node) for r in sd.drop_near_duplicates(taken, k=5, similarity=0.8).collect()), key=str) == sorted([(None, a, 1), (None, b, 1), (7, c, 1), (7, d, 1), (1, e, 1)], key=str)
