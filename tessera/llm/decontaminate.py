@@ -18,7 +18,6 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.names import fresh
 from tessera.llm.words import folded_bytes, folded_words
 
 WINDOW = 13
@@ -238,8 +237,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """
     automata = _automata(benchmark, window, most)
     schema, at = docs.schema, docs.columns.index("text")
-    hits = fresh(docs.columns, "hits")
-    found = docs
+    # Numbered, as Arrow batches go by columns of plain names.
+    found = docs.toDF(*[f"c{i}" for i in range(len(schema))])
+    between = found.withColumn("hits", F.lit(None).cast("array<struct<a:int,b:int>>")).schema
     for k, automaton in enumerate(automata):
         first, last = k == 0, k == len(automata) - 1
 
@@ -262,7 +262,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                 columns = batch.columns[: len(schema)]
                 if not last:
                     columns = [*columns, pa.array(every, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]
-                    yield pa.RecordBatch.from_arrays(columns, [*schema.names, hits])
+                    yield pa.RecordBatch.from_arrays(columns, between.names)
                     continue
                 if changed:
                     columns[at] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], columns[at].type)
@@ -271,5 +271,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                             columns[c] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(columns[c].to_pylist())], columns[c].type)
                 yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep, pa.bool_()))
 
-        found = found.mapInArrow(run, schema if last else docs.withColumn(hits, F.lit(None).cast("array<struct<a:int,b:int>>")).schema)
-    return found
+        found = found.mapInArrow(run, schema if last else between)
+    return found.toDF(*schema.names)

@@ -252,7 +252,9 @@ def identify(docs: DataFrame, model: Model, keep: list[Column], names: tuple[str
     shared = spark.sparkContext.broadcast(model)
     key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text to score"))
+    # Numbered, as Arrow batches go by columns of plain names.
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
+    columns = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _SCORERS.get(key)
@@ -264,7 +266,7 @@ def identify(docs: DataFrame, model: Model, keep: list[Column], names: tuple[str
                 part = batch.slice(start, 512)
                 langs, scores = zip(*scorer.predict(part.column(part.num_columns - 1).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], *names]
+                    [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], columns
                 )
 
     return rows.mapInArrow(run, schema)

@@ -71,3 +71,14 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir):
             out = stage(spark, rows, sf_dir)
             assert out.dtypes == docs.dtypes, name
             assert (out.count() > 0) == (rows is all_rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    from tessera.session import table
+
+    names = ("lang_pred", "score", "rules", "spans", "postings", "lowered", "hits", "c0", "node", "root", "kept", "own", "id", "__node", "__hash", "shard", "language")
+    docs = table(spark, sf_dir, "documents").limit(30).selectExpr("*", *[f"doc_id AS `{x}`" for x in names], "CAST(NULL AS STRING) AS `a.b`")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.dtypes == docs.dtypes, name
+        assert all(r[x] == r.doc_id for r in out.collect() for x in names), name
