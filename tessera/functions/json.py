@@ -96,6 +96,37 @@ def contains(j: Column, pattern: str) -> Column:
     return F.when(j.isNotNull(), F.coalesce(_within(F.try_parse_json(j), json.loads(pattern)), F.lit(False)))
 
 
+def contains_sql(j: str, pattern: str) -> str:
+    """``contains`` as SQL text over an expression."""
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def same(v: str, scalar: Any) -> str:
+        kind = f"schema_of_variant({v})"
+        if scalar is None:
+            test = f"{kind} = 'VOID'"
+        elif isinstance(scalar, bool):
+            test = f"{kind} = 'BOOLEAN' AND try_variant_get({v}, '$', 'boolean') = {str(scalar).lower()}"
+        elif isinstance(scalar, (int, float)):
+            test = f"{kind} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' AND try_variant_get({v}, '$', 'double') = {float(scalar)!r}D"
+        else:
+            test = f"{kind} = 'STRING' AND try_variant_get({v}, '$', 'string') = {quoted(scalar)}"
+        return f"coalesce({test}, false)"
+
+    def some(v: str, p: Any, level: int) -> str:
+        test = (within if isinstance(p, (dict, list)) else lambda x, y, _: same(x, y))(f"x{level}", p, level + 1)
+        return f"coalesce(exists(try_variant_get({v}, '$', 'array<variant>'), x{level} -> {test}), false)"
+
+    def within(v: str, p: Any, level: int) -> str:
+        if isinstance(p, dict):
+            members = [f"coalesce({within(f'try_variant_get({v}, {quoted('$' + _step(k))}, ' + repr('variant') + ')', x, level)}, false)" for k, x in p.items()]
+            return "(" + " AND ".join([f"coalesce(schema_of_variant({v}) LIKE 'OBJECT%', false)", *members]) + ")"
+        if isinstance(p, list):
+            return "(" + " AND ".join([f"coalesce(schema_of_variant({v}) LIKE 'ARRAY%', false)", *[some(v, x, level) for x in p]]) + ")"
+        return f"({same(v, p)} OR {some(v, p, level)})"
+
+    return f"(CASE WHEN {j} IS NOT NULL THEN coalesce({within(f'try_parse_json({j})', json.loads(pattern), 0)}, false) END)"
+
+
 def _holds(a: Any, b: Any) -> bool:
     if isinstance(b, dict):
         return isinstance(a, dict) and all(k in a and _holds(a[k], x) for k, x in b.items())

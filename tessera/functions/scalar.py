@@ -36,6 +36,10 @@ SESSION_CONSTANTS = {
     "current_schema": "public",
     "current_user": "postgres",
     "session_user": "postgres",
+    "current_schemas": "public",
+    "pg_encoding_to_char": "UTF8",
+    "pg_get_userbyid": "postgres",
+    "format_type": "text",
     "pg_backend_pid": 1,
     "pg_table_is_visible": True,
     "pg_type_is_visible": True,

@@ -128,3 +128,32 @@ def weakly_connected(edges: DataFrame) -> DataFrame:
         # Pointer jump: the label of the label.
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("further"))
         label = materialize(moved.join(jump, "component").select("node", F.col("further").alias("component")), "labels")
+
+
+def weighted_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """edges (src, dst, weight), sources (source) -> (source, node, distance): least sums of weights, which must not be negative.
+
+    Each round relaxes the edges of what became nearer; it ends when nothing does.
+    """
+    known = materialize(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance")).distinct(), "distances")
+    nearer = known
+    while not nearer.isEmpty():
+        ahead = nearer.join(edges, nearer.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"))
+        every = known.withColumn("old", F.col("distance")).unionByName(ahead.withColumn("old", F.lit(None).cast("double")))
+        found = materialize(every.groupBy("source", "node").agg(F.min("distance").alias("distance"), F.min("old").alias("old")), "distances")
+        nearer = found.where("old IS NULL OR distance < old").drop("old")
+        known = found.drop("old")
+    return known
+
+
+def k_core(edges: DataFrame, k: int) -> DataFrame:
+    """(node): the nodes of the largest part in which each has ``k`` neighbours, ignoring direction, loops and parallel edges."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    left = materialize(both, "core-edges")
+    while True:
+        enough = materialize(left.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("src").alias("node")), "core-nodes")
+        ends = [enough.select(F.col("node").alias(c)) for c in ("src", "dst")]
+        kept = materialize(left.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"), "core-edges")
+        if kept.count() == left.count():
+            return enough
+        left = kept

@@ -31,15 +31,38 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[st
     return found.where("__side = 1").select(*left.columns, *[F.col("__last")[c].alias(f"right_{c}") for c in take])
 
 
+#: Buckets that one span is dealt to, at most; longer spans go by wider buckets.
+SPAN_BUCKETS = 64
+
+
 def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with the spans [low, high) that hold them, by an equi-join on buckets of a width."""
-    bucket = lambda c: F.floor(F.col(c) / width)
-    dealt = spans.withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    return points.withColumn("__bucket", bucket(at)).join(dealt, "__bucket").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__bucket")
+    """Points with the spans [low, high) that hold them, by an equi-join on buckets.
+
+    A span takes the narrowest buckets (``width`` times a power of ``SPAN_BUCKETS``) of
+    which it needs few, so a span of any length is dealt to a bounded number; a point goes
+    to the bucket of each width that some span has.
+    """
+    length = F.greatest((F.col(high) - F.col(low)) / width, F.lit(1.0))
+    level = F.ceil(F.log(float(SPAN_BUCKETS), length) - 1e-9).cast("int")
+    leveled = spans.withColumn("__level", F.greatest(level - 1, F.lit(0))).where(F.col(low) < F.col(high))
+    levels = sorted(r[0] for r in leveled.select("__level").distinct().collect())
+    bucket = lambda c, n: F.floor(F.col(c) / (width * F.pow(F.lit(float(SPAN_BUCKETS)), n))).cast("bigint")
+    dealt = leveled.withColumn("__bucket", F.explode(F.sequence(bucket(low, F.col("__level")), bucket(high, F.col("__level")))))
+    each = points.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    each = each.withColumn("__bucket", bucket(at, F.col("__level")))
+    met = each.join(dealt, ["__level", "__bucket"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
+    return met.drop("__level", "__bucket")
 
 
 def salted_join(facts: DataFrame, side: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot keys spread over several tasks: facts get a salt, the other side one copy per salt."""
-    salt: Column = F.pmod(F.xxhash64(*[c for c in facts.columns]), F.lit(salts)).cast("int")
+    """An equi-join whose hot keys spread over several tasks: facts get a salt, the other side one copy per salt.
+
+    Inner, left, semi and anti joins, which keep rows of the facts only.  The salt is drawn
+    by row, so equal rows spread too.
+    """
+    if how not in ("inner", "left", "left_outer", "leftouter", "left_semi", "semi", "leftsemi", "left_anti", "anti", "leftanti"):
+        raise ValueError(f"a salted join cannot be {how}: copies of the other side would come back")
+    # By the row's number and not at random: a task that runs again draws the same.
+    salt: Column = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return facts.withColumn("__salt", salt).join(copies, [on, "__salt"], how).drop("__salt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -55,16 +56,29 @@ class InvertedLists:
     vector: str
     key: str
 
+    def nearest_lists(self, query: list[float], probes: int) -> list[int]:
+        """The lists whose centroids are nearest; the only list if there are none."""
+        if not len(self.centroids):
+            return [0]
+        far = ((self.centroids - np.asarray(query, float)) ** 2).sum(axis=1)
+        return np.argsort(far, kind="stable")[:probes].tolist()
+
+    def pruned(self, query: list[float], probes: int) -> DataFrame:
+        """The rows of those lists."""
+        return self.rows.where(F.col("__list").isin(self.nearest_lists(query, probes))).drop("__list")
+
     def search(self, query: list[float], k: int, probes: int) -> DataFrame:
         """The k nearest rows of the lists whose centroids are nearest."""
-        far = ((self.centroids - np.asarray(query, float)) ** 2).sum(axis=1)
-        lists = np.argsort(far, kind="stable")[:probes].tolist()
-        return knn(self.rows.where(F.col("__list").isin(lists)), self.vector, query, k, self.key).drop("__list")
+        return knn(self.pruned(query, probes), self.vector, query, k, self.key)
+
+    def added(self, rows: DataFrame) -> InvertedLists:
+        """The lists with more rows, under the centroids there are."""
+        return InvertedLists(self.centroids, self.rows.unionByName(_listed(rows, self.vector, self.centroids)), self.vector, self.key)
 
     def search_batch(self, queries: DataFrame, k: int, probes: int, block: int = QUERY_BLOCK) -> DataFrame:
         """(query, key, distance, rank) for a stated set of queries, each by its own lists; blocks as in ``knn_batch``."""
         blocks = max(1, -(-queries.count() // block))
-        far = F.array(*[F.struct(l2(F.col("__q"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centroids)])
+        far = _distances(F.col("__q"), self.centroids)
         named = queries.select(F.col(self.key).alias("query"), F.col(self.vector).alias("__q"), F.pmod(F.xxhash64(self.key), F.lit(blocks)).alias("__block"))
         named = materialize(named.withColumn("__probe", F.explode(F.slice(F.array_sort(far)["i"], 1, probes))), "probes")
         rows = self.rows.select(F.col(self.key), F.col(self.vector).alias("__v"), "__list")
@@ -77,20 +91,33 @@ class InvertedLists:
         return reduce(DataFrame.unionByName, parts)
 
 
-def _nearest(vector: Column, centroids: np.ndarray) -> Column:
-    """Number of the nearest centroid, ties to the first."""
-    each = F.array(*[F.struct(l2(vector, F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)])
-    return F.array_min(each)["i"]
+def _distances(vector: Column, centroids: np.ndarray) -> Column:
+    """(d, i) for each centroid; they are one constant, whatever their number."""
+    if not len(centroids):
+        return F.array(F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i")))
+    every = F.from_json(F.lit(json.dumps(centroids.tolist())), "array<array<double>>")
+    return F.transform(every, lambda c, i: F.struct(l2(vector, c).alias("d"), i.alias("i")))
+
+
+def _listed(df: DataFrame, vector: str, centroids: np.ndarray) -> DataFrame:
+    """Rows with ``__list``, the number of the nearest centroid (ties to the first, 0 without a vector), written by list."""
+    nearest = F.coalesce(F.when(F.col(vector).isNotNull(), F.array_min(_distances(F.col(vector), centroids))["i"]), F.lit(0))
+    return materialize(df.withColumn("__list", nearest).repartition("__list").sortWithinPartitions("__list"), "ivf")
 
 
 def build_ivf(df: DataFrame, vector: str, key: str, lists: int = 16, fit_rows: int = FIT_ROWS, seed: int = 1) -> InvertedLists:
-    """Centroids by k-means on a bounded sample (Lloyd, on the driver), then every row listed and written by list."""
+    """Centroids by k-means on a bounded sample (Lloyd, on the driver), then every row listed and written by list.
+
+    An empty table has no centroids and one list.
+    """
     picked = df.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector)).orderBy(F.xxhash64(key), key).limit(fit_rows).collect()
     points = np.array([r[1] for r in picked], float)
-    rng = np.random.default_rng(seed)
-    centres = points[rng.choice(len(points), min(lists, len(points)), replace=False)]
-    for _ in range(15):
-        owner = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) if len(points) * len(centres) < 1e7 else np.array([((centres - p) ** 2).sum(axis=1).argmin() for p in points])
-        centres = np.array([points[owner == i].mean(axis=0) if (owner == i).any() else c for i, c in enumerate(centres)])
-    listed = materialize(df.withColumn("__list", _nearest(F.col(vector), centres)).repartition("__list").sortWithinPartitions("__list"), "ivf")
-    return InvertedLists(centres, listed, vector, key)
+    centres = points
+    if len(points):
+        rng = np.random.default_rng(seed)
+        centres = points[rng.choice(len(points), min(lists, len(points)), replace=False)]
+        for _ in range(15):
+            squares = (centres**2).sum(axis=1)
+            owner = np.concatenate([(squares - 2 * points[a : a + 4096] @ centres.T).argmin(axis=1) for a in range(0, len(points), 4096)])
+            centres = np.array([points[owner == i].mean(axis=0) if (owner == i).any() else c for i, c in enumerate(centres)])
+    return InvertedLists(centres, _listed(df, vector, centres), vector, key)

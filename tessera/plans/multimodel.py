@@ -388,3 +388,60 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.sessions(windows.timed(table(spark, sf_dir, "events")), "6 hours")
     return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_session_windows",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events),
+       s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+       SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def stream_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``stream_sessions``, by a stream."""
+    found = windows.sessions(windows.timed(windows.event_stream(spark, sf_dir), "1 hour"), "6 hours")
+    return windows.drain(found, "sessions").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come twice, once each."""
+    twice = [windows.event_stream(spark, sf_dir) for _ in range(2)]
+    once = windows.deduplicated(windows.timed(twice[0].unionByName(twice[1]), "1 hour")).select("event_id", "user_id", "event_type")
+    return windows.drain(once, "dedup", "append")
+
+
+@query(
+    "graph_weighted_distance",
+    """WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER w AS k, first(o_orderkey) OVER w AS source, sum(o_totalprice) OVER w - first(o_totalprice) OVER w AS distance
+                  FROM orders WHERE o_custkey < 20 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))
+       SELECT source, o_orderkey AS node, round(distance, 2) AS distance FROM o""",
+)
+def graph_weighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From some customers' first orders along their chains; an edge weighs the price of the order that it leads to."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("first", F.row_number().over(w) == 1)
+    edges = o.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst"), F.lead("o_totalprice").over(w).alias("weight")).dropna()
+    sources = o.where("first AND o_custkey < 20").select(F.col("o_orderkey").alias("source"))
+    return graph.weighted_distances(edges, sources).select("source", "node", F.round("distance", 2).alias("distance"))
+
+
+_LINKED = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (6, 7), (7, 8), (2, 1)]
+
+
+@query("graph_k_core", "SELECT unnest([1, 2, 3, 4, 5, 6])::BIGINT AS node")
+def graph_k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.k_core(spark.createDataFrame(_LINKED, "src bigint, dst bigint"), 2)
+
+
+@query(
+    "stats_analyze_full",
+    """SELECT 'p_brand' AS column_name, count(DISTINCT p_brand) AS n_distinct,
+              (SELECT string_agg(p_brand || '=' || n, ',' ORDER BY n DESC, p_brand) FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 10)) AS common,
+              0::BIGINT AS n_bounds FROM part
+       UNION ALL SELECT 'p_size', count(DISTINCT p_size),
+              (SELECT string_agg(p_size || '=' || n, ',' ORDER BY n DESC, p_size) FROM (SELECT p_size::VARCHAR AS p_size, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_size LIMIT 10)), 51 FROM part""",
+)
+def stats_analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.analyze_full(table(spark, sf_dir, "part").select("p_brand", "p_size"))
+    common = F.array_join(F.transform("most_common", lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))), ",")
+    return found.select("column_name", "n_distinct", common.alias("common"), F.coalesce(F.size("bounds"), F.lit(0)).cast("bigint").alias("n_bounds"))

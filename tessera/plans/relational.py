@@ -23,7 +23,7 @@ q("filter_between", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10
 q("filter_not_between", "SELECT p_partkey, p_size FROM part WHERE p_size NOT BETWEEN 10 AND 40", ("part",))
 q("filter_in", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", ("orders",))
 q("filter_not_in", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'P')", ("orders",))
-q("filter_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%E_L%'", ("part",))
+q("filter_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'S%L_'", ("part",))
 q("filter_not_like", "SELECT p_partkey FROM part WHERE p_type NOT LIKE 'S%'", ("part",))
 q(
     "filter_null",

@@ -135,3 +135,28 @@ def test_catalog_views(spark):
         assert catalog_view(spark, name).columns
     found = catalog_view(spark, "information_schema.columns").where("table_name = 'seen_here'").orderBy("ordinal_position").collect()
     assert [(r.column_name, r.data_type) for r in found] == [("a", "bigint"), ("b", "double precision")]
+
+
+def test_salted_joins(spark):
+    a, b = spark.createDataFrame([(1,)] * 5 + [(3,)], "k int"), spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert sorted(map(str, relational.salted_join(a, b, "k", 4, how).collect())) == sorted(map(str, a.join(b, "k", how).collect()))
+    with pytest.raises(ValueError):
+        relational.salted_join(a, b, "k", how="right")
+
+
+def test_range_join_of_long_spans(spark):
+    points = spark.createDataFrame([(float(x),) for x in range(0, 5000, 7)], "p double")
+    spans = spark.createDataFrame([(1, 0.0, 4999.0), (2, 3.0, 3.5), (3, 10.0, 10.0), (4, 70.0, 1000.0), (5, None, 4.0), (6, 7.0, 64.0 * 64.0)], "s int, low double, high double")
+    want = sorted((r.s, r.p) for r in points.join(spans, (F.col("p") >= F.col("low")) & (F.col("p") < F.col("high"))).collect())
+    assert sorted((r.s, r.p) for r in relational.range_join(points, spans, "p", "low", "high", 1.0).collect()) == want
+    assert relational.range_join(points, spans.limit(0), "p", "low", "high", 1.0).count() == 0
+
+
+def test_weighted_distances_and_cores(spark):
+    e = spark.createDataFrame([(1, 2, 5.0), (1, 3, 1.0), (3, 2, 1.5), (2, 4, 1.0), (4, 1, 0.0)], "src bigint, dst bigint, weight double")
+    got = {r.node: r.distance for r in graph.weighted_distances(e, spark.createDataFrame([(1,)], "source bigint")).collect()}
+    assert got == {1: 0.0, 3: 1.0, 2: 2.5, 4: 3.5}
+    links = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 5), (2, 1)])
+    assert {r.node for r in graph.k_core(links, 2).collect()} == {1, 2, 3}
+    assert graph.k_core(links, 3).count() == 0
