@@ -100,15 +100,18 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, ever
     is not handed on.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    weighted = materialize(edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share")), "shares")
+    shares = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share"))
     nodes = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
+    # An edge of no weight from each node to itself: so every node is in the sums, which then need no other join.
+    loops = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("share"))
+    weighted = materialize(shares.unionByName(loops), "shares")
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, iterations + 1):
         got = rank.join(weighted, rank.node == weighted.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = nodes.join(got, nodes.node == got.dst, "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        rank = got.select(F.col("dst").alias("node"), (F.lit((1 - damping) / n) + damping * F.col("got")).alias("rank"))
         if i % every == 0:
             rank = materialize(rank, "ranks")
     return rank

@@ -28,6 +28,11 @@ def lookup_all(index: DataFrame, tokens: list[str], key: str) -> DataFrame:
     return index.where(F.col("token").isin(asked)).groupBy(key).agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(asked)).select(key)
 
 
+def rows_holding(df: DataFrame, value: str, asked: list[str]) -> DataFrame:
+    """Rows that hold every token, tested where they are: no index, and no row per token."""
+    return df.where(F.size(F.array_except(F.array(*[F.lit(t) for t in sorted(set(asked))]), tokens_of(F.col(value)))) == 0)
+
+
 def remove(index: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The index without some keys."""
     return index.join(keys.select(key).distinct(), key, "left_anti").select("token", key)

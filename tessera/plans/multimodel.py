@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from tessera.functions import scalar, vectors
 from tessera.operators import graph, relational, tables, tokens
 from tessera.operators import vectors as nearest
 from tessera.registry import query
+from tessera.scratch import materialize, scratch_root
 from tessera.session import register_views, table
+from tessera.sources import files
 from tessera.sources.catalog import catalog_view
 from tessera.streaming import windows
 
@@ -329,12 +332,19 @@ def catalog_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_lookup", "SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'the')")
 def token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.lookup(tokens.build(table(spark, sf_dir, "documents"), "doc_id", "text"), "the")
+    return tokens.rows_holding(table(spark, sf_dir, "documents"), "text", ["the"]).select("doc_id")
 
 
 @query("token_lookup_all", "SELECT doc_id FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['the', 'and', 'with'])")
 def token_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.lookup_all(tokens.build(table(spark, sf_dir, "documents"), "doc_id", "text"), ["the", "and", "with"], "doc_id")
+    return tokens.rows_holding(table(spark, sf_dir, "documents"), "text", ["the", "and", "with"]).select("doc_id")
+
+
+@query("token_index_lookup", "SELECT p_partkey FROM part WHERE list_has_all(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), ['red', 'widget'])")
+def token_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a written index of all tokens."""
+    index = materialize(tokens.build(table(spark, sf_dir, "part"), "p_partkey", "p_name"), "tokens")
+    return tokens.lookup_all(index, ["red", "widget"], "p_partkey")
 
 
 @query("token_json_keys", "SELECT token, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS token FROM events) t GROUP BY token")
@@ -445,3 +455,50 @@ def stats_analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.analyze_full(table(spark, sf_dir, "part").select("p_brand", "p_size"))
     common = F.array_join(F.transform("most_common", lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))), ",")
     return found.select("column_name", "n_distinct", common.alias("common"), F.coalesce(F.size("bounds"), F.lit(0)).cast("bigint").alias("n_bounds"))
+
+
+@query(
+    "source_formats",
+    " UNION ALL ".join(f"SELECT '{kind}' AS kind, r_regionkey, r_name FROM region" for kind in ("csv", "json", "orc", "parquet")),
+)
+def source_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written to files of each format and read back."""
+    region, out = table(spark, sf_dir, "region"), []
+    for kind in ("csv", "json", "orc", "parquet"):
+        path = f"{scratch_root(spark)}/source-{uuid.uuid4().hex}"
+        files.write(region, path, kind)
+        out.append(files.read(spark, path, kind, region.schema).select(F.lit(kind).alias("kind"), "r_regionkey", "r_name"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("source_column_files", "SELECT l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
+def source_column_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written by the values of a column, of which a query reads the files it needs."""
+    path = f"{scratch_root(spark)}/source-{uuid.uuid4().hex}"
+    files.write(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), path, partition_by=["l_returnflag"])
+    return files.read(spark, path).where("l_returnflag <> 'N'").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query(
+    "catalog_constants",
+    """SELECT * FROM (VALUES ('database', 'postgres'), ('namespace', 'pg_catalog'), ('namespace', 'public'), ('role', 'postgres'), ('schema', 'pg_catalog'), ('schema', 'public'), ('user', 'postgres'))
+       t(kind, name)""",
+)
+def catalog_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = (("pg_namespace", "nspname", "namespace"), ("pg_database", "datname", "database"), ("pg_user", "usename", "user"), ("pg_roles", "rolname", "role"), ("information_schema.schemata", "schema_name", "schema"))
+    return reduce(DataFrame.unionByName, [catalog_view(spark, v).select(F.lit(kind).alias("kind"), F.col(c).alias("name")) for v, c, kind in parts])
+
+
+@query(
+    "catalog_relations",
+    """SELECT c.relname, t.schemaname, i.table_type, a.attname, a.attnum FROM (VALUES ('nation', 'public', 'BASE TABLE')) v(n, s, k), LATERAL (SELECT n AS relname) c, LATERAL (SELECT s AS schemaname) t,
+       LATERAL (SELECT k AS table_type) i, (VALUES ('n_nationkey', 1::BIGINT), ('n_name', 2), ('n_regionkey', 3)) a(attname, attnum)""",
+)
+def catalog_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of the catalog joined as clients do."""
+    register_views(spark, sf_dir, ("nation",))
+    c, t, a = (catalog_view(spark, v) for v in ("pg_class", "pg_tables", "pg_attribute"))
+    i, s = catalog_view(spark, "information_schema.tables"), catalog_view(spark, "pg_stat_user_tables")
+    one = c.where("relname = 'nation'").join(t, c.relname == t.tablename).join(i, c.relname == i.table_name).join(s.select("relid"), c.oid == s.relid)
+    empty = [catalog_view(spark, v).count() for v in ("pg_indexes", "pg_constraint", "information_schema.views")]
+    return one.join(a, c.oid == a.attrelid).where(F.lit(sum(empty)) == 0).select("relname", "schemaname", "table_type", "attname", "attnum")

@@ -195,3 +195,26 @@ def database_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
     db, t = Database(spark), f"t_{uuid.uuid4().hex}"
     db.execute(f"CREATE TABLE {t} (r_regionkey BIGINT, r_name TEXT)")
     return db.execute(f"INSERT INTO {t} SELECT r_regionkey + 10, r_name FROM region RETURNING r_regionkey, r_name")
+
+
+@query(
+    "database_administration",
+    """SELECT * FROM (VALUES (0, 'CREATE TABLE'), (1, 'BEGIN'), (2, 'INSERT 0 2'), (3, 'COMMIT'), (4, 'ALTER TABLE'), (5, 'CREATE INDEX'), (6, 'VACUUM'), (7, 'UTC'), (8, 'CREATE VIEW'), (9, 'DROP VIEW'),
+       (10, 'DELETE 1'), (11, 'true'), (12, 'DROP TABLE')) t(step, status)""",
+)
+def database_administration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db, t = Database(spark), f"t_{uuid.uuid4().hex}"
+    steps = [
+        f"CREATE TABLE {t} (id INT, name TEXT)", "BEGIN", f"INSERT INTO {t} VALUES (1, 'a'), (2, 'b')", "COMMIT", f"ALTER TABLE {t} ADD COLUMN size INT", f"CREATE INDEX ON {t} (id)",
+        f"VACUUM {t}", "SHOW spark.sql.session.timeZone", f"CREATE VIEW v_{t} AS SELECT * FROM {t}", f"DROP VIEW v_{t}", f"DELETE FROM {t} WHERE id = 1", f"EXPLAIN SELECT * FROM {t}", f"DROP TABLE {t}",
+    ]
+    rows = []
+    for i, step in enumerate(steps):
+        found = db.execute(step).collect()
+        rows.append((i, found[0][-1] if not step.startswith("EXPLAIN") else str(any("Scan" in r.plan for r in found)).lower()))
+    return spark.createDataFrame(rows, "step int, status string")
+
+
+@query("sql_times", "SELECT true AS same, true AS past, '2024-02-29' AS day, 29 AS d")
+def sql_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, "SELECT now() = TRANSACTION_TIMESTAMP() AS same, CLOCK_TIMESTAMP() > TIMESTAMP '2024-01-01' AS past, ('2024-02-29'::date)::text AS day, day('2024-02-29'::date) AS d")
