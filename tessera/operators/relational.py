@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a bucket of an as-of join, about.
+ASOF_ROWS = 1_000_000
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str], width: float | None = None) -> DataFrame:
     """Each left row with the columns ``take`` of the last right row of the same ``by`` at or before its ``on``.
 
-    One shuffle of the union by key, then a running last value; no pairs are made.  With
-    ``width`` (in the units of ``on`` as a number, seconds for times) a key's rows are cut
-    into buckets, so that a hot key spreads over many tasks; the last right row of the
-    earlier buckets is carried in from one row per bucket.
+    One shuffle of the union by key, then a running last value; no pairs are made.  A key's
+    rows are cut into buckets of a ``width`` (in the units of ``on`` as a number, seconds for
+    times), so that a hot key spreads over many tasks; the last right row of the earlier
+    buckets is carried in from one row per bucket.  Without a width, one is taken that
+    leaves about ``ASOF_ROWS`` rows of an even spread to a bucket.
     """
     a = left.select("*", F.lit(1).alias("__side"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"__{c}") for c in take])
     b = right.select(F.col(by), F.col(on), F.lit(0).alias("__side"), *[F.col(c).alias(f"__{c}") for c in take])
     both = a.unionByName(b, allowMissingColumns=True)
     number = F.col(on).cast("timestamp").cast("double") if right.schema[on].dataType.typeName().startswith("timestamp") else F.col(on).cast("double")
+    if width is None:
+        rows, low, high = both.agg(F.count("*"), F.min(number), F.max(number)).first()
+        buckets = rows // ASOF_ROWS
+        width = (high - low) / buckets if buckets and low is not None and high > low else None
     both = both.withColumn("__bucket", F.lit(0) if width is None else F.floor(number / width))
     upto = Window.partitionBy(by, "__bucket").orderBy(F.col(on).asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("__side") == 0, F.struct(*[F.col(f"__{c}").alias(c) for c in take]))

@@ -104,13 +104,17 @@ def test_tokens(spark):
     assert {r.id for r in tokens.lookup_all(index, ["the", "dog"], "id").collect()} == {1}
 
 
-def test_asof_join(spark):
+def test_asof_join(spark, monkeypatch):
     a = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     b = spark.createDataFrame([(1, 2, "x"), (1, 5, "y")], "k int, t int, v string")
     got = {(r.k, r.t): r.right_v for r in relational.asof_join(a, b, "k", "t", ["v"]).collect()}
     assert got == {(1, 5): "y", (1, 1): None, (2, 9): None}
     for width in (1.0, 3.0, 100.0):
         assert got == {(r.k, r.t): r.right_v for r in relational.asof_join(a, b, "k", "t", ["v"], width).collect()}
+    for rows in (1, 2):
+        monkeypatch.setattr(relational, "ASOF_ROWS", rows)
+        assert got == {(r.k, r.t): r.right_v for r in relational.asof_join(a, b, "k", "t", ["v"]).collect()}
+    assert relational.asof_join(a.limit(0), b, "k", "t", ["v"]).count() == 0
 
 
 def test_knn_in_blocks(spark):
@@ -160,3 +164,17 @@ def test_weighted_distances_and_cores(spark):
     links = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 5), (2, 1)])
     assert {r.node for r in graph.k_core(links, 2).collect()} == {1, 2, 3}
     assert graph.k_core(links, 3).count() == 0
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path}'")
+    try:
+        for name, n in (("one", 500), ("two", 300)):
+            files.save_bucketed(spark.range(n).selectExpr("id AS k", f"id * 2 AS {name}"), f"bucketed.{name}", "k", 4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = spark.table("bucketed.one").join(spark.table("bucketed.two"), "k")
+        assert met.count() == 300
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE bucketed CASCADE")
