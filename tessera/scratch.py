@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Where tables lie, as long as they are in use.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -48,4 +51,15 @@ def materialize(df: DataFrame, name: str = "table", release: bool = False) -> Da
     df.write.parquet(path)
     if release:
         spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing yet to be computed reads; others are left alone."""
+    for df in tables:
+        if (path := _PATHS.pop(df, None)) is not None:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
