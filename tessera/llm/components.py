@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.scratch import materialize
+from tessera.scratch import discard, materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -35,13 +35,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         # Large star: the larger neighbours of a node go to its least neighbour, or to itself.
+        last = pairs
         least = _least(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         large = pairs.join(least.select(F.col("u").alias("v"), "m"), "v").select("u", F.least("v", "m").alias("v"))
         large = materialize(large, "large-star")
         # Small star: the smaller neighbours of a node, and the node, go to the least of them.
-        hooked = large.join(_least(large), "u")
+        nearest = _least(large)
+        hooked = large.join(nearest, "u")
         small = hooked.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+        discard(last, least, large, nearest)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
