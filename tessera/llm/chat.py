@@ -4,8 +4,9 @@ Every participant of a conversation (a distinct role, but for ``system``) is onc
 assistant: their turns become assistant turns, which are trained on, and everyone
 else's become turns of a user with a name.  Turns keep a row each, with the place of
 their segment in the rendered text, so a conversation of any length is rendered without
-collecting it: offsets come from a prefix sum in two steps, over blocks of turns and
-over the turns of one block.
+collecting it: turns are dealt over tasks by ranges of their order and numbered, and
+offsets come from a prefix sum in two steps, over blocks of numbers and over the turns of
+one block.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tessera.scratch import materialize
 
-#: Turn numbers in a block; a block's rows meet in one task.
-BLOCK = 512
+#: Rows in a block, a power of two; a block's rows of one conversation meet in one task.
+BLOCK = 1 << 16
+#: Letters of a text by which turns of one number and role are dealt over tasks.
+SPLIT = 128
 SYSTEM = "system"
 _OPEN, _CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -49,34 +52,32 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         _clean(F.col("text")).alias("body"),
     )
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62) // BLOCK)).cast("bigint")
     # Equal rows count once here, with their number, and come apart at the end.
-    own = own.groupBy("conv_id", block.alias("block"), "turn", "role", "body").agg(F.count("*").alias("copies"))
-    own = materialize(own, "turns")
+    own = own.groupBy("conv_id", "turn", "role", "body").agg(F.count("*").alias("copies"))
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role")]
+    dealt = own.repartitionByRange(*order, F.substring("body", 1, SPLIT)).sortWithinPartitions(*order, "body")
+    own = materialize(dealt.withColumn("nth", F.monotonically_increasing_id()), "turns")
     people = materialize(own.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("role").alias("perspective")).distinct(), "people")
-    mine = F.col("role") == F.col("perspective")
-    rows = own.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("head", _head(F.col("role"), mine)).withColumn("mine", mine)
-    size = F.char_length("head") + F.char_length("body") + F.lit(len(_CLOSE))
-    rows = rows.withColumn("size", size.cast("bigint"))
+    # Only lengths are repeated for each participant, and exchanged; the texts follow at the end, by row.
+    rows = own.select("conv_id", "nth", F.expr(f"nth div {BLOCK}").alias("block"), "role", F.char_length("body").alias("chars"), "copies")
+    rows = rows.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    rows = rows.withColumn("size", (F.char_length(_head(F.col("role"), F.col("role") == F.col("perspective"))) + F.col("chars") + F.lit(len(_CLOSE))).cast("bigint"))
     blocks = rows.groupBy("conv_id", "perspective", "block").agg(F.sum(F.col("size") * F.col("copies")).alias("length"), F.sum("copies").alias("turns"))
     earlier = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select(
         F.col("conv_id").alias("of"),
         F.col("perspective").alias("whose"),
-        F.col("block").alias("nth"),
+        F.col("block").alias("held"),
         F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("base"),
         F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("turn_base"),
     )
-    inside = (
-        Window.partitionBy("conv_id", "perspective", "block")
-        .orderBy(F.col("turn").asc_nulls_last(), "role", "body")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy("conv_id", "perspective", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     placed = placed.withColumn("nth_row", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("perspective") == F.col("whose")) & (F.col("block") == F.col("nth"))
-    placed = placed.join(bases, same).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("perspective") == F.col("whose")) & (F.col("block") == F.col("held"))
+    placed = placed.join(bases, same).select("nth", "perspective", "size", "base", "at", "turn_base", "nth_row")
+    placed = own.join(placed, "nth").withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    placed = placed.withColumn("mine", F.col("role") == F.col("perspective")).withColumn("head", _head(F.col("role"), F.col("mine")))
     start = F.col("base") + F.col("at") + F.col("copy") * F.col("size")
     return placed.select(
         "conv_id",

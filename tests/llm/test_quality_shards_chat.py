@@ -127,3 +127,11 @@ def test_perspectives(spark, monkeypatch):
     got = [(str(r.conv_id), r.perspective, str(r.turn), r.seq, r.segment, r.a, r.b, r.mask_a, r.mask_b) for r in chat.rotate_perspectives(turns).collect()]
     assert sorted(got) == plain_chat(rows)
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
+
+
+def test_turns_of_one_number_spread(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    rows = [(3, None, "user", "a" * 200 + str(i % 90)) for i in range(120)] + [(3, 7, "bob", "b")] + [(None, None, "user", f"n{i}") for i in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = [(str(r.conv_id), r.perspective, str(r.turn), r.seq, r.segment, r.a, r.b, r.mask_a, r.mask_b) for r in chat.rotate_perspectives(turns).collect()]
+    assert sorted(got) == plain_chat(rows)
