@@ -75,6 +75,31 @@ def test_a_large_group_is_linked_exactly(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_no_link_of_a_chain_is_lost(spark, sf_dir, monkeypatch):
+    """Each text is an edit of the one before and similar to no earlier one, so leaders alone don't link them all."""
+    monkeypatch.setattr(similar, "ORDER_SAMPLE", 1)
+    rng = random.Random(4)
+    rows = []
+    for g in range(40):
+        text = [f"g{g}w{i}" for i in range(150)]
+        for copy in range(6):
+            rows.append((6 * g + copy, " ".join(text)))
+            for at in rng.sample(range(len(text)), 3):
+                text[at] = f"g{g}c{copy}a{at}"
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    want = plain_keepers(rows)
+    assert len(want) < 80 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_fingerprints_that_differ_in_the_highest_bit_are_one_bit_apart(spark):
+    led = spark.createDataFrame([(s, node, 100, s) for s in range(21) for node in (1, 2)], "shingle bigint, node bigint, n bigint, at bigint")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    known = spark.createDataFrame([(1, [0] * 8), (2, [1 - 2**63] + [0] * 7)], "node bigint, bits array<bigint>")
+    pairs = similar.open_pairs(led, roots, known, similar.Fraction("0.8"))
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
+
+
 def test_buckets_over_many_batches(spark):
     """A bucket that is longer than a batch keeps its leader."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
