@@ -67,11 +67,12 @@ def salted_join(facts: DataFrame, side: DataFrame, on: str, salts: int = 16, how
     """An equi-join whose hot keys spread over several tasks: facts get a salt, the other side one copy per salt.
 
     Inner, left, semi and anti joins, which keep rows of the facts only.  The salt is drawn
-    by row, so equal rows spread too.
+    by row, so equal rows spread too.  The copies are never broadcast: Spark takes them for
+    as few as the rows of the other side.
     """
     if how not in ("inner", "left", "left_outer", "leftouter", "left_semi", "semi", "leftsemi", "left_anti", "anti", "leftanti"):
         raise ValueError(f"a salted join cannot be {how}: copies of the other side would come back")
     # By the row's number and not at random: a task that runs again draws the same.
     salt: Column = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
-    copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return facts.withColumn("__salt", salt).join(copies, [on, "__salt"], how).drop("__salt")
