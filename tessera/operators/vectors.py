@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions.vectors import l2
+from tessera.operators.nearest import nearest_rows
 from tessera.scratch import materialize
+from tessera.session import share_package
 
 #: Rows that centroids are fitted on; every row is listed.
 FIT_ROWS = 20_000
@@ -31,20 +34,41 @@ def knn_batch(df: DataFrame, queries: DataFrame, vector: str, key: str, k: int,
 
     Queries are counted and go out in blocks of a bounded number, each broadcast.  A task
     keeps the k best of its rows for a query before the shuffle, so what is exchanged
-    follows the queries, not the rows.
+    follows the queries, not the rows.  Every query meets every row, as matrices.
     """
+    return _meet(df.select(F.col(key), F.col(vector), F.lit(0)), queries.select(F.col(key), F.col(vector), F.array(F.lit(0))), key, k, block)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Parts that work over rows of few files is dealt to."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _meet(rows: DataFrame, queries: DataFrame, key: str, k: int, block: int) -> DataFrame:
+    """rows (key, vector, list), queries (key, vector, lists) -> the k nearest rows of a query's lists.
+
+    Rows are dealt evenly over the tasks, however few files they come in, and each block of
+    queries is a pass over them.
+    """
+    spark = rows.sparkSession
+    share_package(spark)
     blocks = max(1, -(-queries.count() // block))
-    named = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
+    tasks = _tasks(spark)
+    queries = queries.toDF("query", "vector", "lists").withColumn("vector", F.col("vector").cast("array<double>"))
+    rows = rows.toDF(key, "__v", "__list").withColumn("__v", F.col("__v").cast("array<double>")).repartition(tasks)
     if blocks > 1:
-        named = materialize(named.withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(blocks))), "queries")
-    rows = df.select(F.col(key), F.col(vector).alias("__v"))
-    order = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), key)
+        queries = materialize(queries.withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(blocks))), "queries")
+        rows = materialize(rows, "rows")
+    # The number of a row follows the key within a task, and rows come by list.
+    rows = rows.sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()).sortWithinPartitions("__list", "__at")
+    schema = StructType([StructField("query", queries.schema["query"].dataType), StructField(key, rows.schema[key].dataType), StructField("distance", DoubleType())])
     parts = []
     for i in range(blocks):
-        q = F.broadcast(named.where(F.col("__block") == i).drop("__block") if blocks > 1 else named)
-        far = rows.join(q).select("query", key, l2(F.col("__v"), F.col("__q")).alias("distance"))
-        parts.append(far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, parts)
+        asked = (queries.where(F.col("__block") == i).drop("__block") if blocks > 1 else queries).toArrow()
+        shared = spark.sparkContext.broadcast(asked)
+        parts.append(rows.mapInArrow(lambda batches, shared=shared: nearest_rows(batches, shared.value, k), schema))
+    order = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), key)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 @dataclass
@@ -73,22 +97,13 @@ class InvertedLists:
 
     def added(self, rows: DataFrame) -> InvertedLists:
         """The lists with more rows, under the centroids there are."""
-        return InvertedLists(self.centroids, self.rows.unionByName(_listed(rows, self.vector, self.centroids)), self.vector, self.key)
+        return InvertedLists(self.centroids, self.rows.unionByName(_listed(rows, self.vector, self.key, self.centroids)), self.vector, self.key)
 
     def search_batch(self, queries: DataFrame, k: int, probes: int, block: int = QUERY_BLOCK) -> DataFrame:
         """(query, key, distance, rank) for a stated set of queries, each by its own lists; blocks as in ``knn_batch``."""
-        blocks = max(1, -(-queries.count() // block))
-        far = _distances(F.col("__q"), self.centroids)
-        named = queries.select(F.col(self.key).alias("query"), F.col(self.vector).alias("__q"), F.pmod(F.xxhash64(self.key), F.lit(blocks)).alias("__block"))
-        named = materialize(named.withColumn("__probe", F.explode(F.slice(F.array_sort(far)["i"], 1, probes))), "probes")
-        rows = self.rows.select(F.col(self.key), F.col(self.vector).alias("__v"), "__list")
-        order = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), self.key)
-        parts = []
-        for i in range(blocks):
-            q = F.broadcast(named.where(F.col("__block") == i))
-            near = rows.join(q, rows["__list"] == q["__probe"]).select("query", self.key, l2(F.col("__v"), F.col("__q")).alias("distance"))
-            parts.append(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        return reduce(DataFrame.unionByName, parts)
+        far = _distances(F.col(self.vector), self.centroids)
+        asked = queries.select(F.col(self.key), F.col(self.vector), F.slice(F.array_sort(far)["i"], 1, probes))
+        return _meet(self.rows.select(F.col(self.key), F.col(self.vector), F.col("__list")), asked, self.key, k, block)
 
 
 def _distances(vector: Column, centroids: np.ndarray) -> Column:

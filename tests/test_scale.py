@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.operators import relational
+import math
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.functions.vectors import l2
+from tessera.operators import nearest, relational, vectors
 
 
 def plan(df) -> str:
@@ -13,3 +22,45 @@ def test_salted_copies_are_not_broadcast(spark):
     a, b = spark.range(100).selectExpr("id % 3 AS k"), spark.range(3).selectExpr("id AS k", "id AS v")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert "Broadcast" not in plan(relational.salted_join(a, b, "k", 4, how))
+
+
+def answers(df) -> list[tuple]:
+    return sorted((r["query"], r["rank"], r.id, repr(r.distance)) for r in df.collect())
+
+
+def test_neighbours_in_matrices_are_those_of_all_pairs(spark, monkeypatch):
+    """Copies, ties, odd values and rows without a vector, in pieces of a few rows."""
+    monkeypatch.setattr(nearest, "ROWS", 16)
+    monkeypatch.setattr(nearest, "QUERIES", 4)
+    rng = np.random.default_rng(3)
+    vs = [[float(x) for x in rng.normal(size=3)] for _ in range(60)]
+    vs += [[0.1, 0.2, 0.3]] * 40 + [[float(x) for x in v] for v in rng.integers(0, 3, (60, 3))] + [None, [1.0, None, 2.0], [float("nan"), 0.0, 1.0], [float("inf"), 0.0, 0.0], [1e200, 0.0, 0.0], [1e-200, 0.0, 0.0]] * 3
+    few = [None, [float("nan"), 0.0, 1.0], None, [1.0, 2.0, 3.0]]
+    for points, k in ((vs, 5), (few, 3), (few, 9), ([None] * 7, 2)):
+        df = spark.createDataFrame([(f"k{i * 37 % 1000:04d}", v) for i, v in enumerate(points)], "id string, v array<double>")
+        q = df.where("crc32(id) % 3 = 0 OR v IS NULL")
+        far = df.join(q.select(F.col("id").alias("query"), F.col("v").alias("__q"))).select("query", "id", l2(F.col("v"), F.col("__q")).alias("distance"))
+        order = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), "id")
+        want = answers(far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        assert answers(vectors.knn_batch(df, q, "v", "id", k)) == want
+        assert one_task(df, q, k) == [(a, i, d) for a, _, i, d in want]
+        if k == 5:
+            assert answers(vectors.knn_batch(df, q, "v", "id", k, block=7)) == want
+
+
+def one_task(df, q, k) -> list[tuple]:
+    """What one task finds, called here so that its pieces are small; rows of two lists."""
+    rows, q = df.orderBy("id").toArrow(), q.toArrow()
+    n = rows.num_rows
+    rows = pa.table({"id": rows["id"], "v": rows["v"], "list": pa.array([i % 2 for i in range(n)]), "at": pa.array(range(n))}).sort_by([("list", "ascending"), ("at", "ascending")])
+    out = pa.Table.from_batches(nearest.nearest_rows(rows.combine_chunks().to_batches(), pa.table({"query": q["id"], "vector": q["v"], "lists": pa.array([[0, 1]] * q.num_rows)}), k))
+    key = lambda r: (r["query"], r["distance"] is None, math.isnan(r["distance"] or 0.0), r["distance"] or 0.0, r["id"])
+    return [(r["query"], r["id"], repr(r["distance"])) for r in sorted(out.to_pylist(), key=key)]
+
+
+def test_a_single_file_of_vectors_is_dealt_over_tasks(spark):
+    points = spark.range(400).selectExpr("id", "array(cast(id as double), 1D) AS v").coalesce(1)
+    found = vectors.knn_batch(points, points.where("id % 50 = 0"), "v", "id", 3)
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found) and "RoundRobinPartitioning" in plan(found)
+    with pytest.raises(Exception, match="different dimensions"):
+        vectors.knn_batch(points, points.selectExpr("id", "array(1D) AS v"), "v", "id", 3).collect()
