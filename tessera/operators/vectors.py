@@ -114,10 +114,15 @@ def _distances(vector: Column, centroids: np.ndarray) -> Column:
     return F.transform(every, lambda c, i: F.struct(l2(vector, c).alias("d"), i.alias("i")))
 
 
-def _listed(df: DataFrame, vector: str, centroids: np.ndarray) -> DataFrame:
-    """Rows with ``__list``, the number of the nearest centroid (ties to the first, 0 without a vector), written by list."""
+def _listed(df: DataFrame, vector: str, key: str, centroids: np.ndarray) -> DataFrame:
+    """Rows with ``__list``, the number of the nearest centroid (ties to the first, 0 without a vector), written by list.
+
+    Rows are dealt evenly over the tasks before, and a list over several files, since lists may be few or uneven.
+    """
+    tasks = _tasks(df.sparkSession)
     nearest = F.coalesce(F.when(F.col(vector).isNotNull(), F.array_min(_distances(F.col(vector), centroids))["i"]), F.lit(0))
-    return materialize(df.withColumn("__list", nearest).repartition("__list").sortWithinPartitions("__list"), "ivf")
+    part = F.pmod(F.xxhash64(key), F.lit(-(-tasks // max(1, len(centroids)))))
+    return materialize(df.repartition(tasks).withColumn("__list", nearest).repartition(tasks, "__list", part).sortWithinPartitions("__list"), "ivf")
 
 
 def build_ivf(df: DataFrame, vector: str, key: str, lists: int = 16, fit_rows: int = FIT_ROWS, seed: int = 1) -> InvertedLists:
@@ -135,4 +140,4 @@ def build_ivf(df: DataFrame, vector: str, key: str, lists: int = 16, fit_rows: i
             squares = (centres**2).sum(axis=1)
             owner = np.concatenate([(squares - 2 * points[a : a + 4096] @ centres.T).argmin(axis=1) for a in range(0, len(points), 4096)])
             centres = np.array([points[owner == i].mean(axis=0) if (owner == i).any() else c for i, c in enumerate(centres)])
-    return InvertedLists(centres, _listed(df, vector, centres), vector, key)
+    return InvertedLists(centres, _listed(df, vector, key, centres), vector, key)

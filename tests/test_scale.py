@@ -64,3 +64,11 @@ def test_a_single_file_of_vectors_is_dealt_over_tasks(spark):
     assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found) and "RoundRobinPartitioning" in plan(found)
     with pytest.raises(Exception, match="different dimensions"):
         vectors.knn_batch(points, points.selectExpr("id", "array(1D) AS v"), "v", "id", 3).collect()
+
+
+def test_lists_of_one_file_are_written_by_many_tasks(spark):
+    points = spark.range(4000).selectExpr("id", "array(cast(id % 97 as double), cast(id % 89 as double)) AS v").coalesce(1)
+    index = vectors.build_ivf(points, "v", "id", lists=2)
+    sizes = [r["n"] for r in index.rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+    assert index.search_batch(points.where("id % 500 = 0"), 5, 2).drop("distance").count() == 40
