@@ -14,7 +14,9 @@ from itertools import count, islice
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.pieces_of_graph import ranks, stars
 from tessera.scratch import materialize
+from tessera.session import share_package
 
 #: Steps after which a recursive query ends; nothing else does.
 MAX_STEPS = 1000
@@ -117,8 +119,52 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, ever
     return rank
 
 
+#: Edges that a task holds at once; components with more are ranked in rounds over the cluster.
+PIECE_EDGES = 1 << 20
+
+
+def _contracted(edges: DataFrame, with_edges: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Pieces (src, dst, root), nodes (node, root) and, where pieces share nodes, the roots' (node, component).
+
+    Tasks find the components of their pieces in memory.  A node of several pieces ties
+    their roots; those ties are a graph with an edge at most for each time that a node comes
+    again, and none if each component lies in one piece.
+    """
+    share_package(edges.sparkSession)
+    edges = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).dropna()
+    pieces = materialize(edges.mapInArrow(stars(PIECE_EDGES, with_edges), "src bigint, dst bigint, root bigint"), "pieces")
+    ends = pieces.where("dst IS NULL").select(F.col("src").alias("node"), "root")
+    nodes = materialize(ends.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")), "nodes")
+    again = nodes.where("root < other")
+    if again.isEmpty():
+        return pieces, nodes.select("node", "root"), None
+    ties = ends.withColumnRenamed("root", "src").join(again.select("node", F.col("root").alias("dst")), "node").where("src <> dst")
+    ties = materialize(ties.select("src", "dst").distinct(), "ties")
+    n = ties.count()
+    if n <= PIECE_EDGES:
+        found = materialize(ties.coalesce(1).mapInArrow(stars(n + 1, False), "src bigint, dst bigint, root bigint").select(F.col("src").alias("node"), F.col("root").alias("component")), "roots")
+    else:
+        found = weakly_connected(ties) if n < nodes.count() // 4 else _propagated(ties)
+    return pieces, nodes.select("node", "root"), found
+
+
+def _component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows with a root, with the root's component in its place."""
+    if found is None:
+        return rows.withColumnRenamed("root", "component")
+    names = [c for c in rows.columns if c != "root"]
+    heads = found.select(F.col("node").alias("root"), "component")
+    return rows.join(heads, "root", "left").select(*names, F.coalesce("component", "root").alias("component"))
+
+
 def weakly_connected(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, ignoring direction, by label propagation with pointer jumps."""
+    """(node, component): the least node reachable, ignoring direction; edges with a NULL end are left out."""
+    _, nodes, found = _contracted(edges, False)
+    return _component(nodes, found)
+
+
+def _propagated(edges: DataFrame) -> DataFrame:
+    """(node, component) by label propagation with pointer jumps, for edges that pieces of memory bring no nearer."""
     both = materialize(edges.union(edges.select("dst", "src")).where("src <> dst").distinct(), "edges-both")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     label = materialize(nodes.withColumn("component", F.col("node")), "labels")

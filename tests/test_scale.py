@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions.vectors import l2
-from tessera.operators import nearest, relational, vectors
+from tessera.operators import graph, nearest, relational, vectors
 
 
 def plan(df) -> str:
@@ -72,3 +73,25 @@ def test_lists_of_one_file_are_written_by_many_tasks(spark):
     sizes = [r["n"] for r in index.rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 4000 and max(sizes) < 2000
     assert index.search_batch(points.where("id % 500 = 0"), 5, 2).drop("distance").count() == 40
+
+
+@pytest.mark.parametrize("size", [1 << 20, 40, 3])
+def test_components_over_pieces(spark, monkeypatch, size):
+    """Chains, stars and loops whose edges come in any order, in pieces that cut them."""
+    monkeypatch.setattr(graph, "PIECE_EDGES", size)
+    pairs = [(i, i + 1) for i in range(0, 200) if i % 40 != 39] + [(1000, 1000 + i) for i in range(1, 30)] + [(7000, 7000), (500, 2), (2, 500)]
+    pairs = [pairs[i * 101 % len(pairs)] for i in range(len(pairs))]
+    df = spark.createDataFrame(pairs, "src bigint, dst bigint").repartition(3)
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {r.node: r.component for r in graph.weakly_connected(df).collect()} == least
+
+
+def test_components_of_whole_pieces_take_no_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or scratch.materialize(df, name))
+    chains = spark.range(3000, numPartitions=1).where("id % 30 <> 29").selectExpr("id AS src", "id + 1 AS dst")
+    assert graph.weakly_connected(chains).groupBy("component").count().where("count = 30").count() == 100
+    assert len(written) <= 4
