@@ -20,6 +20,8 @@ from tessera.session import share_package
 
 #: Steps after which a recursive query ends; nothing else does.
 MAX_STEPS = 1000
+#: Edges that a task holds at once; components with more are ranked in rounds over the cluster.
+PIECE_EDGES = 1 << 20
 
 
 def _unseen(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,17 +98,31 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = No
 
 
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(node, rank) after a fixed number of iterations, from 1/N.
+    """(node, rank) after a fixed number of iterations, from 1/N; edges with a NULL end are left out.
 
     Parallel edges count as often as they come, and the rank of nodes without out-edges
-    is not handed on.
+    is not handed on.  So components have no part in each other's ranks but for N: each is
+    ranked in the memory of a task, and only those too large for that in rounds.
     """
+    pieces, nodes, found = _contracted(edges, True)
+    n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    own = _component(pieces.where("dst IS NOT NULL"), found)
+    large = materialize(own.groupBy("component").agg(F.count("*").alias("edges")).where(F.col("edges") > PIECE_EDGES).select("component"), "large")
+    if some := not large.isEmpty():
+        own = materialize(own, "component-edges")
+    small = own.join(large, "component", "left_anti").select("src", "dst", "component") if some else own.select("src", "dst", "component")
+    run = ranks(PIECE_EDGES, n, iterations, damping)
+    ranked = small.repartition("component").sortWithinPartitions("component").mapInArrow(run, "node bigint, rank double")
+    return ranked.unionByName(_ranked_in_rounds(own.join(large, "component", "left_semi").select("src", "dst"), n, iterations, damping, every)) if some else ranked
+
+
+def _ranked_in_rounds(edges: DataFrame, n: int, iterations: int, damping: float, every: int) -> DataFrame:
+    """(node, rank) of the edges' nodes, among ``n`` in all."""
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     shares = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share"))
     nodes = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
-    n = nodes.count()
-    if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
     # An edge of no weight from each node to itself: so every node is in the sums, which then need no other join.
     loops = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("share"))
     weighted = materialize(shares.unionByName(loops), "shares")
@@ -119,10 +135,6 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, ever
     return rank
 
 
-#: Edges that a task holds at once; components with more are ranked in rounds over the cluster.
-PIECE_EDGES = 1 << 20
-
-
 def _contracted(edges: DataFrame, with_edges: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Pieces (src, dst, root), nodes (node, root) and, where pieces share nodes, the roots' (node, component).
 

@@ -95,3 +95,26 @@ def test_components_of_whole_pieces_take_no_rounds(spark, monkeypatch):
     chains = spark.range(3000, numPartitions=1).where("id % 30 <> 29").selectExpr("id AS src", "id + 1 AS dst")
     assert graph.weakly_connected(chains).groupBy("component").count().where("count = 30").count() == 100
     assert len(written) <= 4
+
+
+@pytest.mark.parametrize("size", [1 << 20, 12, 1])
+def test_ranks_over_pieces(spark, monkeypatch, size):
+    """Components that fit in a piece and others, with loops, parallel edges and dead ends."""
+    monkeypatch.setattr(graph, "PIECE_EDGES", size)
+    pairs = [(i, i + 1) for i in range(0, 60) if i % 6 != 5] + [(100, 100 + i % 9) for i in range(30)] + [(103, 104), (104, 100), (7000, 7000), (3, 1), (3, 1)]
+    pairs = [pairs[i * 37 % len(pairs)] for i in range(len(pairs))]
+    nodes = sorted({x for p in pairs for x in p})
+    out = {x: sum(a == x for a, _ in pairs) for x in nodes}
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        new = dict.fromkeys(nodes, 0.15 / len(nodes))
+        for a, b in pairs:
+            new[b] += 0.85 * want[a] / out[a]
+        want = new
+    got = [tuple(r) for r in graph.pagerank(spark.createDataFrame(pairs, "src bigint, dst bigint").repartition(3)).collect()]
+    assert len(got) == len(nodes) and all(abs(want[x] - r) < 1e-13 for x, r in got)
+
+
+def test_ranks_of_small_components_take_no_rounds(spark):
+    chains = spark.range(3000).where("id % 30 <> 29").selectExpr("id AS src", "id + 1 AS dst")
+    assert "Join" not in plan(graph.pagerank(chains))
