@@ -66,6 +66,7 @@ q(
     "join_compound_on",
     "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal + 9000",
     ("supplier", "customer"),
+    pairs=("customer", "supplier"),
 )
 q("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000", ("customer", "orders"))
 q("join_right", "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey", ("supplier", "nation"))
@@ -82,7 +83,7 @@ q(
        JOIN (SELECT r_regionkey AS k, r_name FROM region) y USING (k)""",
     ("nation", "region"),
 )
-q("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", ("supplier",))
+q("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", ("supplier",), pairs=("supplier", "supplier"))
 q(
     "join_chain3",
     """SELECT c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON c_custkey = o_custkey

@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import tessera.plans.catalogue  # noqa: F401
 from tessera import scratch
 from tessera.functions.vectors import l2
 from tessera.operators import graph, nearest, relational, vectors
+from tessera.registry import QUERIES
 
 
 def plan(df) -> str:
@@ -118,3 +120,16 @@ def test_ranks_over_pieces(spark, monkeypatch, size):
 def test_ranks_of_small_components_take_no_rounds(spark):
     chains = spark.range(3000).where("id % 30 <> 29").selectExpr("id AS src", "id + 1 AS dst")
     assert "Join" not in plan(graph.pagerank(chains))
+
+
+@pytest.mark.parametrize("name", ["join_compound_on", "join_self"])
+def test_joins_of_many_pairs_are_dealt_over_tasks(spark, sf_dir, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = QUERIES[name](spark, sf_dir)
+        assert "BroadcastHashJoin" in plan(found)
+        assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+        # The views left behind are the tables as they are.
+        assert "RoundRobin" not in plan(spark.table("supplier"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
